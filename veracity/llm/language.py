@@ -27,7 +27,7 @@ from .common import small_batches
 DICTIONARY, TRAIN_ROWS, TRAIN_CHARS = 96 << 10, 200, 1500
 #: Characters encoded at once; margin (share of the smallest code) under which a text is rejected.
 PIECE, MARGIN = 16_384, 0.01
-LEVEL = 3
+LEVEL = 9
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
