@@ -21,8 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import can_checkpoint, flat, small_batches
+from .common import can_checkpoint, flat, repeated, slices, small_batches, word_hashes, words
 
 #: Rows of the labelled sample that the classifier is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -38,17 +39,23 @@ _CLASSES = np.stack([
 ]).astype(np.float64)
 
 
-@F.pandas_udf("array<double>")
+def byte_statistics(rows: pa.Table) -> np.ndarray:
+    """Shares of byte classes in each text (smoothed, so that short texts say little), its share of
+    repeated words and its log length."""
+    raw, offsets = flat(rows["text"])
+    start, end, doc = words(raw, offsets)
+    n_words = np.bincount(doc, minlength=len(offsets) - 1)
+    twice = repeated(doc, word_hashes(raw, start, end), len(n_words)) / (n_words + 20)
+    hist = np.array([np.bincount(raw[a:b], minlength=256) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    sign, shout, bar, digit, upper, lower, high, space = (hist @ _CLASSES.T).T
+    n, gaps, letters = np.diff(offsets) + 50.0, space + 10, upper + lower + 50
+    return np.stack([sign / n, np.minimum(shout / gaps, 2), np.minimum(bar / gaps, 2), digit / n, upper / letters, high / n, space / n, twice, np.log1p(np.diff(offsets))], 1)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def byte_features(text: pd.Series) -> pd.Series:
-    """Shares of byte classes in each text, and its log length: one histogram a text."""
-    raw, offsets = flat(pa.array(text, pa.string(), from_pandas=True))
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        hist = np.bincount(raw[a:b], minlength=256)
-        sign, shout, bar, digit, upper, lower, high, space = _CLASSES @ hist
-        n, word, letters = max(b - a, 1), max(space, 1), max(upper + lower, 1)
-        out.append([sign / n, min(shout / word, 2.0), min(bar / word, 2.0), digit / n, upper / letters, high / n, space / n, sign / word, float(np.log1p(b - a))])
-    return pd.Series(out)
+    rows = pa.table({"text": pa.array(text, pa.string(), from_pandas=True)})
+    return pd.Series([x for part in slices(rows) for x in byte_statistics(part)])
 
 
 @dataclass

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, rules, warc
+from . import decontaminate, language, pieces, pii, quality, rules, warc
 from .common import shared_folder, table
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "evidence", "host_posterior", "path_posterior", "quality_posterior", "kept")
@@ -18,17 +23,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode it again, and give counts, a digest of the ids and whether the
+    text came back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs))
+    return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.described(warc.read_archive(spark, path)).drop("digest_ok")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_bayes, op4_language_id, op7_quality_rules, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op3_quality_bayes, op4_language_id, op5_decontaminate, op7_quality_rules, op9_pieces, op10_warc)}
 
 _BITS = "('0x' || substr(h, {a}, 5))::BIGINT"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

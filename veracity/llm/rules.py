@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, IS_SPACE, U64, flat, grams, mix, per_text, slices, small_batches, word_hashes, words
+from .common import BYTE_CODE, IS_SPACE, U64, flat, grams, mix, per_text, repeated, slices, small_batches, word_hashes, words
 
 #: Hash buckets of the model, half for words and half for character n-grams.
 BUCKETS = 1 << 16
@@ -117,25 +117,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes
     return fit(got["text"].tolist(), (got["quality"].to_numpy() > 0))
 
 
-def repeated(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """Words inside a 3-word window that its text has twice or more, for each text."""
-    if len(hashes) < 3:
-        return np.zeros(n, np.int64)
-    key = grams(hashes, 3)
-    own = doc[:-2] == doc[2:]
-    place = np.flatnonzero(own)
-    key, of = mix(key[place]), doc[:-2][place]
-    order = np.lexsort((key, of))
-    same = (key[order][1:] == key[order][:-1]) & (of[order][1:] == of[order][:-1])
-    twice = np.zeros(len(place), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    covered = np.zeros(len(hashes), bool)
-    for shift in range(3):
-        covered[place[twice] + shift] = True
-    return np.bincount(doc[covered], minlength=n)
-
-
 def repeated_lines(text: str | None) -> int:
     """Lines (split at \\n) with a word that equal an earlier line of the text."""
     if not text or "\n" not in text:
