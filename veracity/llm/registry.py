@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pieces, pii, quality, rules, warc
+from . import decontaminate, language, pieces, pii, quality, rules, suffix, warc
 from .common import shared_folder, table
 
 
@@ -14,6 +14,10 @@ def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "evidence", "host_posterior", "path_posterior", "quality_posterior", "kept")
@@ -46,12 +50,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described(warc.read_archive(spark, path)).drop("digest_ok")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op3_quality_bayes, op4_language_id, op5_decontaminate, op7_quality_rules, op9_pieces, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op7_quality_rules, op9_pieces, op10_warc)}
 
 _BITS = "('0x' || substr(h, {a}, 5))::BIGINT"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM d),
+     w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM p),
+     r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+     g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r),
+     n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+     s AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY ALL),
+     e AS (SELECT doc_id, span, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM s
+           UNION ALL SELECT doc_id, 0, 0, min(a) FROM s GROUP BY doc_id),
+     k AS (SELECT e.doc_id, string_agg(CASE WHEN e.b IS NULL THEN substr(h, 2 * e.a + 1) ELSE substr(h, 2 * e.a + 1, 2 * (e.b - e.a)) END, '' ORDER BY e.a) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id),
+     c AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)""",
     "op10_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
      d AS (SELECT page_id, body, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS f FROM p)
