@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pieces, pii, quality, rules, suffix, warc
+from . import decontaminate, language, pieces, pii, quality, rules, substring, suffix, warc
 from .common import shared_folder, table
 
 
@@ -36,6 +36,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode it again, and give counts, a digest of the ids and whether the
     text came back."""
@@ -50,12 +54,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described(warc.read_archive(spark, path)).drop("digest_ok")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op7_quality_rules, op9_pieces, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op7_quality_rules, op8_substring_dedup, op9_pieces, op10_warc)}
 
 _BITS = "('0x' || substr(h, {a}, 5))::BIGINT"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLE_SQL = {
+    "op8_substring_dedup": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d),
+     s AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM p),
+     r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM s) WHERE least < doc_id),
+     c AS (SELECT DISTINCT doc_id, i + o AS i FROM r, range(0, 50) AS t(o)),
+     g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+     k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+     j AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) AS kept FROM k ANTI JOIN c USING (doc_id, i) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN j USING (doc_id)""",
     "op2_suffix_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
      p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM d),
