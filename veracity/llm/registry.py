@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, pieces, pii, quality, rules, substring, suffix, warc
+from . import decontaminate, language, neardup, pieces, pii, quality, rules, substring, suffix, warc
 from .common import shared_folder, table
 
 
@@ -32,6 +32,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described(warc.read_archive(spark, path)).drop("digest_ok")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op7_quality_rules, op8_substring_dedup, op9_pieces, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op6_near_dedup, op7_quality_rules, op8_substring_dedup, op9_pieces, op10_warc)}
 
 _BITS = "('0x' || substr(h, {a}, 5))::BIGINT"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
