@@ -1,12 +1,53 @@
-"""The corpus pipeline (part of veracity.llm)."""
+"""The corpus pipeline (part of veracity.llm): quality, near-duplicates, benchmark passages,
+personal data, pieces. Each stage works on all that the one before it kept.
+
+A row keeps the columns of documents until the last stage, which gives its piece ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veracity.llm import decontaminate, neardup, pieces, pii, quality
 from veracity.llm.common import shared_folder, table
 
-STAGES: list = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the smallest id stays."""
+    return neardup.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_pieces and the piece ids of the text."""
+    return pieces.encode(docs).select("doc_id", "source", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("SentencePiece encoding and decoding", pieces_stage),
+]
+
+#: No SQL: the classifier, the field and the pieces are beyond it. tests/llm holds run() against a
+#: brute-force version.
 ORACLE_SQL = None
 
 
