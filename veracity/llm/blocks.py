@@ -25,6 +25,8 @@ from .common import SLICE_BYTES, U64, can_checkpoint, grams, input_bytes, mix, p
 #: Text bytes gathered in a task before they are packed, and text bytes a block should not exceed.
 PACK_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
 _PLACE = U64((1 << 31) - 1)
+#: Stands for a missing id: rows without one come after all others and count as one document.
+NO_ID = (1 << 63) - 1
 TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
@@ -49,7 +51,7 @@ def settled(df: DataFrame, key: str) -> DataFrame:
 def deal(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
     """(blk, pack) of docs(doc_id, text): blocks first .. first + count - 1."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), block_of(F.col("doc_id"), count, first).alias("blk"))
+    rows = docs.select(id_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), block_of(id_of(), count, first).alias("blk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -80,8 +82,17 @@ def deal(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
     return settled(rows.mapInArrow(run, "blk int, pack binary"), "blk")
 
 
+def id_of(name: str = "doc_id"):
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def with_ids(result: DataFrame) -> DataFrame:
+    """A result with missing ids put back."""
+    return result.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def block_of(doc_id, count: int, first: int = 0):
-    return (F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(count)) + first).cast("int")
+    return (F.pmod(F.xxhash64(doc_id), F.lit(count)) + first).cast("int")
 
 
 def unpack(packs: pa.ChunkedArray) -> pa.Table:

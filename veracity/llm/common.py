@@ -63,8 +63,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; only sizes how finely work is dealt out."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate, 0 where it has none (it then says exabytes); it only sizes how
+    finely work is dealt out."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

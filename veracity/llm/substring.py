@@ -14,8 +14,8 @@ decide). Adding a batch:
 
 Words are runs of bytes other than space and 0x09-0x0D, compared unchanged.
 
-Cases: a null or empty text has no words; texts below WINDOW words stay whole; rows that repeat an id are
-one document to the others and not removed for each other; an empty batch gives an empty
+Cases: a null or empty text has no words; texts below WINDOW words stay whole; rows that repeat an id
+(or have none, and then come last) are one document to the others and not removed for each other; an empty batch gives an empty
 result; further columns are not read. Ids of a later batch may be smaller; decisions about earlier
 batches then stand.
 """
@@ -270,7 +270,7 @@ class FingerprintIndex:
                 rows.append((doc, len(out), int(out.sum()), hashlib.sha256(text).hexdigest()))
             return _table(_RESULT, rows)
 
-        result = cogrouped(packs, seen.where(F.col("blk") >= first).unionByName(masks), remove, RESULT)
+        result = blocks.with_ids(cogrouped(packs, seen.where(F.col("blk") >= first).unionByName(masks), remove, RESULT))
         self.packs.append(packs)
         self.ranges.append((first, self.blocks - 1))
         if len(self.runs) > MAX_RUNS:
@@ -280,12 +280,13 @@ class FingerprintIndex:
 
 def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     """Add docs(doc_id, text) to a fresh index in batches of ascending ids."""
-    index = FingerprintIndex(docs.sparkSession)
+    index, place = FingerprintIndex(docs.sparkSession), blocks.id_of()
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
-    cuts = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
+    cuts = [low + (high + 1 - low) * i // batches for i in range(batches)]
     out = None
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = index.add(docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+    for i, cut in enumerate(cuts):
+        rows = docs.where((place >= cut) & (place < cuts[i + 1])) if i + 1 < batches else docs.where(place >= cut)
+        part = index.add(rows)
         out = part if out is None else out.unionByName(part)
     return out

@@ -17,8 +17,8 @@ Windows are judged on the input. Steps, each a Spark stage over blocks of docume
 5. removal: each block learns which of its windows start in a smaller id.
 
 Cases: a null or empty text has no bytes and nothing to remove; texts below WINDOW bytes stay whole;
-rows that repeat an id are one document to the others and not removed for each other; an empty
-table gives an empty result; further columns are not read.
+rows that repeat an id (or have none, and then come last) are one document to the others and not
+removed for each other; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -240,9 +240,10 @@ def _table(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 
 
 def exact_copies(docs: DataFrame, count: int) -> DataFrame:
-    """Notes of the documents whose whole text an id below theirs has."""
-    rows = docs.where(F.octet_length("text") >= WINDOW).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("h"))
-    first = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least")
+    """Notes of the documents whose whole text an id below theirs has. The least ids are checkpointed, so
+    that Spark can split a text that many rows share in the join."""
+    rows = docs.where(F.octet_length("text") >= WINDOW).select(blocks.id_of().alias("doc_id"), F.sha2("text", 256).alias("h"))
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least").checkpoint()
     found = rows.join(first, "h").where("doc_id > least")
     return found.select(blocks.block_of(F.col("doc_id"), count).alias("blk"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "doc_id", F.unhex("h").alias("first"), F.lit(None).cast("binary").alias("second"))
 
@@ -325,4 +326,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows.append((doc, len(body), int(out.sum()), runs, hashlib.sha256(body[~out].tobytes()).hexdigest()))
         return _table(_RESULT, rows)
 
-    return cogrouped(notes.unionByName(masks), remove, RESULT)
+    return blocks.with_ids(cogrouped(notes.unionByName(masks), remove, RESULT))

@@ -81,7 +81,8 @@ def export_warc(archive: DataFrame, path: str) -> None:
     """The records as WARC files (payloads are UTF-8, so Spark's text sink writes exact bytes)."""
     revisit = F.col("header").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
-    archive.select(F.concat("header", body, F.lit(CRLF + CRLF)).alias("value")).write.mode("overwrite").option("lineSep", "").option("compression", "gzip").text(path)
+    # The sink's line end is the second of the two that close a record.
+    archive.select(F.concat("header", body, F.lit(CRLF)).alias("value")).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 def described(archive: DataFrame) -> DataFrame:
