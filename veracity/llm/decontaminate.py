@@ -79,26 +79,24 @@ class Block:
         many = self.count[where]
         row = np.repeat(self.first[where] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         at, item = np.repeat(hit, many), self.item[row]
-        text = doc[at]
+        text, n = doc[at], len(self.long)
+        # A pair with fewer shared q-grams than the bound in all has no band that reaches it.
+        pair = text * n + item
+        pairs, of = (np.arange(n * (int(text[-1]) + 1)), pair) if n * (int(text[-1]) + 1) <= 4 * len(pair) + (1 << 16) else np.unique(pair, return_inverse=True)
+        enough = (np.bincount(of, minlength=len(pairs)) >= self.bound[pairs % n])[of]
+        at, item, text, row = at[enough], item[enough], text[enough], row[enough]
+        if not len(at):
+            return np.zeros((0, 3), np.int64)
         width = self.edits[item] + 1
-        diagonal = at - start[text] - self.place[row] + self.size[item]  # not negative
-        low = diagonal // width
-        out = []
+        low = (at - start[text] - self.place[row] + self.size[item]) // width  # not negative
         # A band b covers diagonals [b * width, (b + 2) * width): each diagonal lies in two.
-        for band in (low, low - 1):
-            key = np.stack([text, item, band], 1)
-            order = np.lexsort(key.T[::-1])
-            key = key[order]
-            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True]))) if len(key) else np.zeros(1, np.int64)
-            out.append((key[edge[:-1]], np.diff(edge)))
-        key, count = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-        if not len(key):
-            return np.zeros((0, 3), np.int64)
-        key, back = np.unique(key, axis=0, return_inverse=True)
-        total = np.bincount(back.ravel(), count)
-        key = key[total >= self.bound[key[:, 1]]]
-        key[:, 2] = key[:, 2] * (self.edits[key[:, 1]] + 1) - self.size[key[:, 1]]
-        return key
+        bands = int(low.max()) + 2
+        key, count = np.unique(np.concatenate([pair[enough] * bands + low + 1, pair[enough] * bands + low]), return_counts=True)
+        found, band = key // bands, key % bands - 1
+        keep = np.flatnonzero(count >= self.bound[found % n])
+        keep = keep[np.argsort(-count[keep], kind="stable")]  # the fullest band first: the others are then often spared
+        text, item = found[keep] // n, found[keep] % n
+        return np.stack([text, item, band[keep] * (self.edits[item] + 1) - self.size[item]], 1)
 
 
 def banded(item: np.ndarray, text: np.ndarray, low: int, width: int, most: int) -> int:

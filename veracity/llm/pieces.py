@@ -24,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import slices, small_batches
 
 #: Where the public vocabulary files lie, unless given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words and piece pairs that a Python worker remembers before it forgets them all.
-WORD_CACHE, PAIR_CACHE = 300_000, 600_000
+#: Words (of each of two generations) and piece pairs that a Python worker remembers.
+WORD_CACHE, PAIR_CACHE = 200_000, 500_000
 
 
 class Coder:
@@ -60,13 +61,16 @@ class Coder:
             else:
                 self.id[piece], self.score[piece] = i, sp.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
-        self.longest = max(map(len, self.id), default=1)
+        # Every suffix of a piece: its score if it is a piece that merging itself gives, else None.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in self.id for i in range(len(p))}
+        self.endings.update((p, v) for p, v in self.score.items() if not self.bpe or self.merged(p) == [p])
         crossing = {c for p in self.id for c in p[1:] if len(p) > 1} | {p[0] for p in self.id if len(p) > 1}
         self.marked_inside = any(MARK in p.lstrip(MARK) for p in self.id)
         single = "".join(c for c in "\n\r\t\v\f" if c not in crossing)
         other = re.escape(single)
         self.cut = re.compile(f"{MARK}*[^{MARK}{other}]+|{MARK}+" + (f"|[{other}]" if single else ""))
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -80,12 +84,10 @@ class Coder:
         return parts
 
     def together(self, left: str, right: str) -> bool:
-        """Whether merging leaves these two neighbours as they are (left empty: right alone)."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        """Whether merging leaves these two neighbours as they are."""
+        if len(self.pairs) >= PAIR_CACHE:
+            self.pairs.clear()
+        known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
 
     def ids(self, piece: str) -> list[int]:
@@ -99,7 +101,7 @@ class Coder:
         """Piece ids (int32 bytes) of each of the sorted distinct words, by one walk of their trie."""
         out, before = {}, ""
         back, total, pieces = [0], [0.0], [""]  # for each prefix: start, score and text of its last piece
-        score, together, bpe, longest = self.score, self.together, self.bpe, self.longest
+        endings, pairs, together, bpe = self.endings, self.pairs, self.together, self.bpe
         for word in words:
             same = 0
             for a, b in zip(before, word):  # noqa: B905
@@ -108,21 +110,24 @@ class Coder:
                 same += 1
             del back[same + 1 :], total[same + 1 :], pieces[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                start, best, chosen = end - 1, None, word[end - 1]
-                for j in range(max(0, end - longest), end):
+                # An unknown character stands alone; a piece goes back as far as some piece ends so.
+                start, chosen = end - 1, word[end - 1]
+                best = None if chosen in endings else total[start] - 1e6
+                for j in range(end - 1, -1, -1):
                     piece = word[j:end]
-                    value = score.get(piece)
+                    value = endings.get(piece, 0)
                     if value is None:
-                        if j < end - 1:
-                            continue
-                        value = -1e6 if best is None else -np.inf  # an unknown character stands alone
+                        continue
+                    if not value and piece not in endings:
+                        break
                     if bpe:
-                        if together("", piece) and (not j or together(pieces[j], piece)):
+                        known = not j or pairs.get((pieces[j], piece))
+                        if known or known is None and together(pieces[j], piece):
                             start, best, chosen = j, total[j] + value, piece
                             break
                     elif best is None or total[j] + value > best:
                         start, best, chosen = j, total[j] + value, piece
-                back.append(start), total.append(best if best is not None else total[start]), pieces.append(chosen)
+                back.append(start), total.append(total[start] if best is None else best), pieces.append(chosen)
             found, at = [], len(word)
             while at:
                 found.append(pieces[at])
@@ -136,12 +141,11 @@ class Coder:
         cut = self.cut.findall
         parts = [None if t is None else cut((MARK if self.prefix and t else "") + t.replace(" ", MARK)) for t in texts]
         words = {w for p in parts if p for w in p}
-        known = {w: self.words[w] for w in words & self.words.keys()} if len(words) < len(self.words) else {w: self.words[w] for w in words if w in self.words}
-        new = self.encode_words(sorted(words - known.keys()))
-        if len(self.words) + len(new) > WORD_CACHE:
-            self.words.clear()
-        self.words.update((w, x) for w, x in new.items() if len(w) < 40)
-        known.update(new)
+        known = {w: x for w in words if (x := self.words.get(w) or self.older.get(w)) is not None}
+        known.update(self.encode_words(sorted(words - known.keys())))
+        self.words.update((w, x) for w, x in known.items() if len(w) < 64)
+        if len(self.words) > WORD_CACHE:  # words not met for a whole generation are forgotten
+            self.older, self.words = self.words, {}
         return [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -173,7 +177,7 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "text", out: str =
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model))
     base = docs.drop(out)
-    schema = base.selectExpr("*", f"cast(array() as array<int>) as {out}").schema
+    schema = T.StructType([*base.schema, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value)
@@ -194,7 +198,7 @@ def decode(encoded: DataFrame, model: str = MODEL, column: str = "pieces", out:
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(model_bytes(model))
     base = encoded.drop(out)
-    schema = base.selectExpr("*", f"'' as {out}").schema
+    schema = T.StructType([*base.schema, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value)

@@ -178,7 +178,7 @@ class FingerprintIndex:
         """doc_id, n_words, n_removed and the digest of the kept words, for docs(doc_id, text); the batch
         then belongs to the past."""
         first, count = self.blocks, blocks.block_count(docs)
-        self.buckets = buckets = self.buckets or count
+        self.buckets = buckets = self.buckets or (count + 1) // 2  # a block sends each bucket one row: half as many keep the rows larger
         packs = blocks.deal(docs, count, first)
         self.blocks += count
         hot_from = max(32, self.blocks // 3)

@@ -8,8 +8,8 @@ Windows are judged on the input. Steps, each a Spark stage over blocks of docume
 2. anchors: each block sends the marks of its sampled windows; a mark that one block's documents
    alone have, and one document only, drops out;
 3. contexts: blocks send the bytes around the remaining anchors, equal ones once with the smallest
-   id. An anchor that is in a third of all blocks is hot: its windows go one by one,
-   dealt by their own hash, so that no task meets all of its contexts;
+   id. An anchor of HOT distinct contexts or more is hot: its windows go one by one, dealt by
+   their own hash, so that no task meets all of its contexts;
 4. suffix sort: where an anchor has several contexts, the suffixes at their window starts are merge-sorted.
    Two suffixes are compared by binary search over prefix polynomial hashes for their common
    extension and the byte after it; neighbours that come out equal are verified byte by byte.
@@ -35,6 +35,8 @@ from . import blocks
 from .common import BASE, BYTE_CODE, U64, can_checkpoint, flat, mix, powers
 
 WINDOW, GRAM = 50, 16
+#: Contexts of one anchor, summed over the blocks, that a task may meet.
+HOT = 4000
 #: Bytes of a context: the most windows that can share an anchor, side by side.
 WIDTH = WINDOW + WINDOW - GRAM
 _ROW = WIDTH + 2  # bytes, place of the anchor, number of windows
@@ -166,6 +168,23 @@ class Block:
         self.bucket = (self.marks >> U64(20)) % U64(buckets)
         self.buckets = buckets
 
+    def contexts(self, low: np.ndarray, windows: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The rows of contexts: bytes of the windows from `low` on, place of the anchor, number of windows."""
+        rows, columns = np.zeros((len(low), _ROW), np.uint8), np.arange(WIDTH)
+        for a in range(0, len(low), 50_000):
+            first, n = low[a : a + 50_000, None], windows[a : a + 50_000, None]
+            rows[a : a + 50_000, :WIDTH] = np.where(columns < n + WINDOW - 1, self.own[np.minimum(first + columns, len(self.own) - 1)], 0)
+        rows[:, WIDTH], rows[:, WIDTH + 1] = before, windows
+        return rows
+
+    def variety(self) -> np.ndarray:
+        """Distinct contexts of each mark in this block."""
+        where = np.searchsorted(self.marks, self.anchors.mark)
+        some = self.anchors.take(np.bincount(where, minlength=len(self.marks))[where] > 1)
+        rows = self.contexts(some.low, some.high - some.low + 1, some.place - some.low)
+        first, _ = unique_rows(np.concatenate([some.mark.view(np.uint8).reshape(-1, 8), rows], 1))
+        return np.maximum(np.bincount(np.searchsorted(self.marks, some.mark[first]), minlength=len(self.marks)), 1)
+
     def choose(self, seen: dict[int, tuple[bytes, bytes]]) -> None:
         """Keep the anchors found elsewhere (seen: bucket -> bits of its marks: repeated, hot) or in
         two documents here, and lay out their contexts, each distinct one once."""
@@ -183,13 +202,7 @@ class Block:
         single = hot[of]
         self.low = found.low[of] + shift
         windows = np.where(single, 1, found.high[of] - found.low[of] + 1)
-        rows = np.zeros((len(of), _ROW), np.uint8)
-        columns = np.arange(WIDTH)
-        for a in range(0, len(of), 50_000):
-            low, n = self.low[a : a + 50_000, None], windows[a : a + 50_000, None]
-            inside = columns < n + WINDOW - 1
-            rows[a : a + 50_000, :WIDTH] = np.where(inside, self.own[np.minimum(low + columns, len(self.own) - 1)], 0)
-        rows[:, WIDTH], rows[:, WIDTH + 1] = np.where(single, 0, found.place[of] - self.low), windows
+        rows = self.contexts(self.low, windows, np.where(single, 0, found.place[of] - self.low))
         key = found.mark[of]
         if single.any():
             with np.errstate(over="ignore"):
@@ -213,7 +226,7 @@ class Block:
         return np.concatenate(out)
 
 
-MARKS = "bucket int, blk int, marks binary"
+MARKS = "bucket int, blk int, marks binary, variety binary"
 NOTES = "blk int, kind int, bucket int, doc_id long, first binary, second binary"
 CONTEXTS = "bucket int, blk int, key binary, doc binary, rows binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -228,12 +241,20 @@ def _seen(notes: pa.Table) -> dict[int, tuple[bytes, bytes]]:
     return {r["bucket"]: (r["first"], r["second"]) for r in notes.to_pylist() if r["kind"] == 1}
 
 
-_MARKS = {"bucket": pa.int32(), "blk": pa.int32(), "marks": pa.binary()}
+_MARKS = {"bucket": pa.int32(), "blk": pa.int32(), "marks": pa.binary(), "variety": pa.binary()}
 _CONTEXTS = {"bucket": pa.int32(), "blk": pa.int32(), "key": pa.binary(), "doc": pa.binary(), "rows": pa.binary()}
 _NOTES = {"blk": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "doc_id": pa.int64(), "first": pa.binary(), "second": pa.binary()}
 _RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
+
+
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), kind)
+
+
 def _table(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns, strict=True)})
@@ -253,7 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     can_checkpoint(spark)
     count = blocks.block_count(docs)
-    buckets = count
+    buckets = (count + 1) // 2  # a block sends each bucket one row: half as many keep the rows larger
     packs = blocks.deal(docs, count)
     copies = exact_copies(docs, count).checkpoint()
 
@@ -266,18 +287,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         block, blk = Block(packed["pack"], _copies(notes), buckets), packed["blk"][0].as_py()
         order = np.argsort(block.bucket, kind="stable")
         cut = np.searchsorted(block.bucket[order], np.arange(buckets + 1).astype(np.uint64))
-        marks = block.marks[order]
-        return _table(_MARKS, [(b, blk, marks[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]])
-
-    hot = max(32, count // 3)
+        marks, variety = block.marks[order], block.variety()[order].astype(np.int32)
+        return _table(_MARKS, [(b, blk, marks[cut[b] : cut[b + 1]].tobytes(), _packed(variety[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]])
 
     def meet_marks(sent: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in sent["marks"].to_pylist()]
-        marks, n = np.unique(np.concatenate(lists), return_counts=True)
-        rows = []
+        marks, back, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        variety = np.bincount(back, np.concatenate([_unpacked(x, np.int32) for x in sent["variety"].to_pylist()]))
+        rows, at = [], 0
         for blk, bucket, own in zip(sent["blk"].to_pylist(), sent["bucket"].to_pylist(), lists, strict=True):
-            times = n[np.searchsorted(marks, own)]
-            rows.append((blk, 1, bucket, None, blocks.bits(times > 1), blocks.bits(times >= hot)))
+            mine = back[at : at + len(own)]
+            rows.append((blk, 1, bucket, None, blocks.bits(n[mine] > 1), blocks.bits(variety[mine] >= HOT)))
+            at += len(own)
         return _table(_NOTES, rows)
 
     seen = cogrouped(copies, send_marks, MARKS).groupBy("bucket").applyInArrow(meet_marks, NOTES).checkpoint()
@@ -291,18 +312,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         rows = []
         for b in np.unique(block.entry_bucket):
             at = block.entry_bucket == b
-            rows.append((int(b), blk, block.key[at].tobytes(), block.least[at].tobytes(), block.rows[at].tobytes()))
+            rows.append((int(b), blk, *(_packed(x[at]) for x in (block.key, block.least, block.rows))))
         return _table(_CONTEXTS, rows)
 
     def sort_suffixes(sent: pa.Table) -> pa.Table:
-        join = lambda name: b"".join(sent[name].to_pylist())
-        key, doc = np.frombuffer(join("key"), np.uint64), np.frombuffer(join("doc"), np.int64)
-        masks = smaller(key, doc, np.frombuffer(join("rows"), np.uint8).reshape(-1, _ROW))
-        coder, rows, at = zstandard.ZstdCompressor(level=1), [], 0
-        for blk, bucket, own in zip(sent["blk"].to_pylist(), sent["bucket"].to_pylist(), sent["key"].to_pylist(), strict=True):
-            n = len(own) // 8
-            rows.append((blk, 2, bucket, None, coder.compress(masks[at : at + n].tobytes()), None))
-            at += n
+        keys, docs_, texts = ([_unpacked(x, kind) for x in sent[name].to_pylist()] for name, kind in (("key", np.uint64), ("doc", np.int64), ("rows", np.uint8)))
+        masks = smaller(np.concatenate(keys), np.concatenate(docs_), np.concatenate(texts).reshape(-1, _ROW))
+        rows, at = [], 0
+        for blk, bucket, own in zip(sent["blk"].to_pylist(), sent["bucket"].to_pylist(), keys, strict=True):
+            rows.append((blk, 2, bucket, None, _packed(masks[at : at + len(own)]), None))
+            at += len(own)
         return _table(_NOTES, rows)
 
     masks = cogrouped(notes, send_contexts, CONTEXTS).groupBy("bucket").applyInArrow(sort_suffixes, NOTES).checkpoint()
@@ -312,8 +331,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             return _table(_RESULT, [])
         block = Block(packed["pack"], _copies(notes), buckets)
         block.choose(_seen(notes))
-        coder = zstandard.ZstdDecompressor()
-        got = {r["bucket"]: np.frombuffer(coder.decompress(r["first"]), np.uint64) for r in notes.to_pylist() if r["kind"] == 2}
+        got = {r["bucket"]: _unpacked(r["first"], np.uint64) for r in notes.to_pylist() if r["kind"] == 2}
         gone = blocks.covered(block.starts(got), WINDOW, len(block.own))
         rows, own = [], block.own_offsets
         for i, doc in enumerate(block.all_ids.tolist()):
