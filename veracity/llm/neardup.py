@@ -10,7 +10,9 @@ give buckets.
 Similarities of candidates are computed exactly, on the shingles. Equal texts are one class from the
 start. In each bucket all are compared with its most central member (the one whose
 buckets are largest); classes are the connected components of the links; then what shares a bucket and
-is still apart is compared too, so that a link found by the bands isn't lost.
+is still apart is compared too, so that a link found by the bands isn't lost. Of those, a document goes
+on only where a partner is possible at all: shingles that no other of them holds bound what it can share,
+and with that the size of a partner. The bound is exact, so that it spares pairs and loses none.
 
 Cases: null texts and texts without words are alone, each its own class; a text of 1 to 4 words is one shingle of
 all its words; rows that repeat an id are one document, linked by any of its texts; rows
@@ -128,19 +130,62 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(doc_id, key) of the bands of texts(doc_id, text) with words."""
+    """(doc_id, key, size) of the bands of texts(doc_id, text) with words; size: shingles of the text."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
                 raw, offsets = flat(rows["text"])
-                signature = signatures(*shingles(raw, offsets), rows.num_rows)
+                doc, value = shingles(raw, offsets)
+                signature = signatures(doc, value, rows.num_rows)
                 some = signature.any(1)
-                ids = rows["doc_id"].to_numpy()[some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(band_keys(signature[some]).ravel())], names=["doc_id", "key"])
+                ids, size = rows["doc_id"].to_numpy()[some], np.bincount(doc, minlength=rows.num_rows)[some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(band_keys(signature[some]).ravel()), pa.array(np.repeat(size, BANDS))], names=["doc_id", "key", "size"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, key long")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, size long")
+
+
+def own_weight(texts: DataFrame) -> DataFrame:
+    """(doc_id, own): how many shingles of each of texts(doc_id, text) no other of them holds. Equal shingles
+    of a slice leave it as one row."""
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                doc, value = shingles(*flat(rows["text"]))
+                if not len(doc):
+                    continue
+                order = np.argsort(value, kind="stable")
+                value, ids = value[order], rows["doc_id"].to_numpy()[doc[order]]
+                edge = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+                count = np.diff(np.concatenate((edge, [len(value)])))
+                parts = (value[edge].view(np.int64), np.minimum.reduceat(ids, edge), np.maximum.reduceat(ids, edge), count)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["value", "low", "high", "n"])
+
+    held = texts.select("doc_id", "text").mapInArrow(run, "value long, low long, high long, n long")
+    once = held.groupBy("value").agg(F.min("low").alias("doc_id"), F.max("high").alias("high"), F.sum("n").alias("n")).where("doc_id = high")
+    return once.groupBy("doc_id").agg(F.sum("n").alias("own"))
+
+
+def possible_pairs(apart: DataFrame, texts: DataFrame, single: DataFrame, least: float) -> DataFrame:
+    """(a, b): bucket mates of different classes in apart(key, doc_id, c, size) that may be similar enough.
+    Two texts of n and m shingles need least / (1 + least) * (n + m) in common: that bounds the size of a
+    partner by what a text shares with any other. ids outside single(doc_id) have no bound."""
+    need = (1 + least) / least
+    ids = apart.select("doc_id").distinct().join(single, "doc_id").checkpoint()
+    own = own_weight(texts.join(ids, "doc_id"))
+    bound = ids.join(own, "doc_id", "left").select("doc_id", F.coalesce("own", F.lit(0)).alias("own"))
+    reach = F.coalesce(need * (F.col("size") - F.col("own")) - F.col("size") + 1e-6, F.lit(1e18))
+    live = apart.join(bound, "doc_id", "left").select("key", "doc_id", "c", "size", reach.alias("reach")).where(F.col("reach") >= least * F.col("size")).checkpoint()
+    for _ in range(2):  # who can't reach the smallest in the bucket goes, then buckets of one class
+        some = live.groupBy("key").agg(F.min("size").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "s")
+        live = live.join(some, "key").where("reach >= s").drop("s").checkpoint()
+    x, y = live.alias("x"), live.alias("y")
+    sizes = (F.col("x.size") <= F.col("y.reach")) & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") >= least * F.col("y.size") - 1e-6) & (F.col("y.size") >= least * F.col("x.size") - 1e-6)
+    mates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & sizes)
+    return mates.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -185,7 +230,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
     # Equal texts: only the smallest id goes on. Texts don't move for that, their digests do.
     digest, some = F.sha2("text", 256), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), 1).otherwise(0)
-    digests = rows.groupBy("doc_id").agg(F.min(digest).alias("h"), F.max(digest).alias("h1"), F.max(some).alias("some")).checkpoint()
+    digests = rows.groupBy("doc_id").agg(F.min(digest).alias("h"), F.max(digest).alias("h1"), F.max(some).alias("some"), F.count("*").alias("texts")).checkpoint()
     single = digests.where("some = 1 and h = h1").select("doc_id", "h")
     first = single.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("h", "first_id").checkpoint()
     copies = single.join(first, "h").where("doc_id > first_id").select("doc_id", "first_id").checkpoint()
@@ -202,10 +247,10 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = linked(tried, rows, least).checkpoint()
     classes = components(links).checkpoint()
     # Bucket mates in different classes that were not compared yet.
-    member = shared.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("class", "doc_id").alias("c")).checkpoint()
+    member = shared.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("class", "doc_id").alias("c"), "size").checkpoint()
     split = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key").checkpoint()
     apart = member.join(split, "key").checkpoint()
-    mates = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    mates = possible_pairs(apart, rows, digests.where("texts = 1").select("doc_id"), least)
     more = mates.join(tried, ["a", "b"], "left_anti").checkpoint()
     if not more.isEmpty():
         classes = components(links.unionByName(linked(more, rows, least))).checkpoint()
