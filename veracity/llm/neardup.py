@@ -11,8 +11,8 @@ Similarities of candidates are computed exactly, on the shingles. Equal texts ar
 start. In each bucket all are compared with its most central member (the one whose
 buckets are largest); classes are the connected components of the links; then what shares a bucket and
 is still apart is compared too, so that a link found by the bands isn't lost. Of those, a document goes
-on only where a partner is possible at all: shingles that no other of them holds bound what it can share,
-and with that the size of a partner. The bound is exact, so that it spares pairs and loses none.
+on only where a partner is possible at all: those who share a rare shingle are paired by it, and for all other
+pairs the common shingles bound what two texts can share. The bound is exact: it spares pairs and loses none.
 
 Cases: null texts and texts without words are alone, each its own class; a text of 1 to 4 words is one shingle of
 all its words; rows that repeat an id are one document, linked by any of its texts; rows
@@ -35,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS coordinates: a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
+#: Lanes of ids in which the holders of a rare shingle are counted.
+LANES = 4
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +58,21 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return texts[order], values[order]
 
 
-def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """The n x COORDINATES matrix of earliest darts (0: no element) of weighted sets given as
-    repeated elements, sorted by text."""
+def regions(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, region) of every unit of weight: the repeats of an element in its text are regions of their own."""
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))) if len(doc) else np.zeros(0, bool)
     start = np.flatnonzero(fresh)
     unit = np.arange(len(doc)) - np.repeat(start, np.diff(np.concatenate((start, [len(doc)]))))
     with np.errstate(over="ignore"):
-        region = mix(value + unit.astype(np.uint64) * U64(0xD1342543DE82EF95))
+        return doc, mix(value + unit.astype(np.uint64) * U64(0xD1342543DE82EF95))
+
+
+def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The n x COORDINATES matrix of earliest darts (0: no element) of weighted sets given as
+    repeated elements, sorted by text."""
+    doc, region = regions(doc, value)
     weight = np.bincount(doc, minlength=n).astype(float)
     earliest, chosen = np.full(n * COORDINATES, np.inf), np.zeros(n * COORDINATES, np.uint64)
     low = np.zeros(n)
@@ -146,46 +153,57 @@ def buckets(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, size long")
 
 
-def own_weight(texts: DataFrame) -> DataFrame:
-    """(doc_id, own): how many shingles of each of texts(doc_id, text) no other of them holds. Equal shingles
-    of a slice leave it as one row."""
+def rare_units(texts: DataFrame) -> DataFrame:
+    """`docs`, a row for each shingle unit that only a few of texts(doc_id, text) hold: who holds it. Units are
+    the repeats of a shingle in a text, each of weight one. Ids fall into LANES lanes by hash, and a unit
+    is rare if no lane has it more than twice: least and greatest id of each lane then name all who hold it, and a
+    unit that very many hold takes no more room in the aggregation than any other."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
                 doc, value = shingles(*flat(rows["text"]))
-                if not len(doc):
-                    continue
-                order = np.argsort(value, kind="stable")
-                value, ids = value[order], rows["doc_id"].to_numpy()[doc[order]]
-                edge = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-                count = np.diff(np.concatenate((edge, [len(value)])))
-                parts = (value[edge].view(np.int64), np.minimum.reduceat(ids, edge), np.maximum.reduceat(ids, edge), count)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=["value", "low", "high", "n"])
+                doc, region = regions(doc, value)
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(rows["doc_id"].to_numpy()[doc])], names=["unit", "doc_id"])
 
-    held = texts.select("doc_id", "text").mapInArrow(run, "value long, low long, high long, n long")
-    once = held.groupBy("value").agg(F.min("low").alias("doc_id"), F.max("high").alias("high"), F.sum("n").alias("n")).where("doc_id = high")
-    return once.groupBy("doc_id").agg(F.sum("n").alias("own"))
+    held = texts.select("doc_id", "text").mapInArrow(run, "unit long, doc_id long")
+    lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES))
+    parts = [f(F.when(lane == i, F.col("doc_id"))).alias(f"{n}{i}") for i in range(LANES) for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+    few = F.greatest(*[F.col(f"n{i}") for i in range(LANES)]) <= 2
+    names = F.array(*[F.col(f"{n}{i}") for i in range(LANES) for n in ("low", "high")])
+    return held.groupBy("unit").agg(*parts).where(few).select(F.array_distinct(F.array_compact(names)).alias("docs"))
 
 
 def possible_pairs(apart: DataFrame, texts: DataFrame, single: DataFrame, least: float) -> DataFrame:
-    """(a, b): bucket mates of different classes in apart(key, doc_id, c, size) that may be similar enough.
-    Two texts of n and m shingles need least / (1 + least) * (n + m) in common: that bounds the size of a
-    partner by what a text shares with any other. ids outside single(doc_id) have no bound."""
+    """(a, b): pairs of different classes in apart(key, doc_id, c, size) that may be similar enough, among
+    bucket mates and those who share a rare unit.
+
+    Texts of n and m shingles need least / (1 + least) * (n + m) in common. Whoever shares a rare
+    unit is paired by it; all others have at most their other units in common, which bounds how large a partner
+    can be. Ids outside single(doc_id) have several texts and no bound."""
     need = (1 + least) / least
-    ids = apart.select("doc_id").distinct().join(single, "doc_id").checkpoint()
-    own = own_weight(texts.join(ids, "doc_id"))
-    bound = ids.join(own, "doc_id", "left").select("doc_id", F.coalesce("own", F.lit(0)).alias("own"))
-    reach = F.coalesce(need * (F.col("size") - F.col("own")) - F.col("size") + 1e-6, F.lit(1e18))
-    live = apart.join(bound, "doc_id", "left").select("key", "doc_id", "c", "size", reach.alias("reach")).where(F.col("reach") >= least * F.col("size")).checkpoint()
+    ids = apart.groupBy("doc_id").agg(F.min("c").alias("c"), F.collect_set("key").alias("keys"), F.min("size").alias("low"), F.max("size").alias("high")).checkpoint()
+    rare = rare_units(texts.join(ids.select("doc_id"), "doc_id")).checkpoint()
+    own = rare.select(F.explode("docs").alias("doc_id"), F.when(F.size("docs") == 1, 1).alias("alone")).groupBy("doc_id").agg(F.count("*").alias("own"), F.count("alone").alias("alone"))
+    limit = lambda c: F.when(F.col("one"), need * (F.col("high") - F.coalesce(c, F.lit(0))) - F.col("high") + 1e-6).otherwise(1e18)
+    known = ids.join(single.withColumn("one", F.lit(True)), "doc_id", "left").join(own, "doc_id", "left").select("doc_id", "c", "keys", "low", "high", limit("own").alias("reach"), limit("alone").alias("far")).checkpoint()
+
+    live = apart.join(known.select("doc_id", "reach", "keys"), "doc_id").where(F.col("reach") >= least * F.col("size") - 1e-6).checkpoint()
     for _ in range(2):  # who can't reach the smallest in the bucket goes, then buckets of one class
         some = live.groupBy("key").agg(F.min("size").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "s")
         live = live.join(some, "key").where("reach >= s").drop("s").checkpoint()
     x, y = live.alias("x"), live.alias("y")
+    differ = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))
     sizes = (F.col("x.size") <= F.col("y.reach")) & (F.col("y.size") <= F.col("x.reach")) & (F.col("x.size") >= least * F.col("y.size") - 1e-6) & (F.col("y.size") >= least * F.col("x.size") - 1e-6)
-    mates = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & sizes)
-    return mates.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    # Of the buckets that two share, the first pairs them.
+    first = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))
+    mates = x.join(y, (F.col("x.key") == F.col("y.key")) & differ & sizes & first).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+    both = rare.where(F.size("docs") > 1).select("docs", F.explode("docs").alias("a")).select("a", F.explode("docs").alias("b")).where("a < b").distinct()
+    side = lambda n: known.select(F.col("doc_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("c", "low", "high", "far")])
+    by_unit = both.join(side("a"), "a").join(side("b"), "b").where(f"a_c <> b_c AND a_low <= b_far AND b_low <= a_far AND a_high >= {least} * b_low - 1e-6 AND b_high >= {least} * a_low - 1e-6").select("a", "b")
+    return mates.unionByName(by_unit).distinct()
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
