@@ -11,8 +11,8 @@ Windows are judged on the input. Steps, each a Spark stage over blocks of docume
    id. An anchor of HOT distinct contexts or more is hot: its windows go one by one, dealt by
    their own hash, so that no task meets all of its contexts;
 4. suffix sort: where an anchor has several contexts, the suffixes at their window starts are merge-sorted.
-   Two suffixes are compared by binary search over prefix polynomial hashes for their common
-   extension and the byte after it; neighbours that come out equal are verified byte by byte.
+   Two suffixes that begin alike are compared by binary search over prefix polynomial hashes for
+   their common extension and the byte after it; neighbours that come out equal are verified byte by byte.
    Equal suffixes are one class with a smallest id;
 5. removal: each block learns which of its windows start in a smaller id.
 
@@ -79,11 +79,18 @@ def suffix_classes(rows: np.ndarray, row: np.ndarray, at: np.ndarray, cell: np.n
     stop = start + np.repeat(sizes, sizes)
     index = np.arange(len(order)) - start
 
+    # What most comparisons need, once for each suffix: its first bytes as a number, the hash of all.
+    head = np.ascontiguousarray(rows[row[:, None], at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+    full = hashes.part(row, at, length)
+
     def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        shared = hashes.common(row[a], at[a], row[b], at[b], length)
-        next_ = np.minimum(shared, length - 1)
-        x, y = rows[row[a], at[a] + next_].astype(int), rows[row[b], at[b] + next_].astype(int)
-        return np.where(shared == length, 0, x - y)
+        x, y = head[a], head[b]
+        out = (x > y).astype(np.int64) - (x < y)
+        deep = np.flatnonzero((out == 0) & (full[a] != full[b]))
+        a, b = a[deep], b[deep]
+        shared = hashes.common(row[a], at[a], row[b], at[b], length - 1)
+        out[deep] = rows[row[a], at[a] + shared].astype(np.int64) - rows[row[b], at[b] + shared]
+        return out
 
     width, most = 1, int(sizes.max(initial=0))
     while width < most:
@@ -106,7 +113,7 @@ def suffix_classes(rows: np.ndarray, row: np.ndarray, at: np.ndarray, cell: np.n
     same = cell[order[1:]] == cell[order[:-1]]
     a, b = order[:-1][same], order[1:][same]
     equal = np.zeros(len(same), bool)
-    equal[same] = hashes.common(row[a], at[a], row[b], at[b], length) == length
+    equal[same] = full[a] == full[b]
     a, b, columns = order[:-1][equal], order[1:][equal], np.arange(length)
     if (rows[row[a][:, None], at[a][:, None] + columns] != rows[row[b][:, None], at[b][:, None] + columns]).any():
         # Two different strings share a hash: settle the classes on the bytes themselves.
