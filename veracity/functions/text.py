@@ -62,7 +62,7 @@ def format_number(v: Column) -> Column:
     """Whole numbers (within the tolerance) without a point, others with six significant digits."""
     general = F.format_string("%.6g", v)
     short = F.when(general.contains("."), F.regexp_replace(general, r"\.?0+(?=$|e)", "")).otherwise(general)
-    return F.when(F.abs(v - F.bround(v)) <= TOLERANCE, F.bround(v).cast("decimal(38,0)").cast("string")).otherwise(short)
+    return F.when(F.abs(v - F.bround(v)) <= TOLERANCE, F.bround(v).cast("decimal(38,0)").cast("string")).when(v.isNotNull(), short)
 
 
 def _by_task(task: Column, alias: Column, number: Column) -> Column:
