@@ -82,21 +82,22 @@ def analyse(records: DataFrame, replicates: int = BOOTSTRAP, select_on: str = "t
     select_on='dev' ranks signals for the choice on dev rows; gate_tier restricts the cascade's
     gate to one cost tier. The defaults are test and no restriction."""
     rows = signal_rows(records).persist()
-    evaluations = evaluate_signals(rows, replicates).persist()
+    evaluations = evaluate_signals(rows, replicates).persist()  # read by all that follows
+    oriented = usable(rows).persist()
     if select_on == "test":
         choice = evaluations
     else:
         dev = usable(rows, "dev").where("split = 'dev'")
         choice = ranked(metrics.auroc(metrics.rank_table(dev, KEYS), KEYS))
     best = best_signal(choice)
-    of = lambda b: usable(rows).join(F.broadcast(b), KEYS)  # noqa: E731  one signal a task
+    of = lambda b: oriented.join(F.broadcast(b), KEYS)  # noqa: E731  one signal a task
     chosen = of(best).persist()
     dev, test = chosen.where("split = 'dev'"), chosen.where("split = 'test'")
     tasks = [r["task"] for r in rows.select("task").distinct().collect()]
     points = decisions.selective_answering(dev, test, target_ladder(rows.sparkSession, tasks), KEYS)
     tiers = decisions.confidence_tiers(dev, test, KEYS)
-    gate = of(best_signal(choice, gate_tier)).where("task = 'gsm8k'").withColumn("greedy_ok", F.col("ok")).withColumn("majority_ok", F.col("majority_correct"))
-    curve = decisions.cascade_curve(gate.where("split = 'dev'"), gate.where("split = 'test'"), KEYS)
+    gate = of(best_signal(choice, gate_tier)).where("task = 'gsm8k'").withColumn("greedy_ok", F.col("ok")).withColumn("majority_ok", F.col("majority_correct")).persist()
+    curve = decisions.cascade_curve(gate.where("split = 'dev'"), gate.where("split = 'test'"), KEYS).persist()
     selected = decisions.cheapest_point(curve, KEYS).select("task", F.struct("signal", "budget", "threshold", "test_rate", "test_accuracy", "mean_generations", "cost_ratio").alias("selected"))
     listed = lambda df, name, *cols: df.groupBy("task").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))  # noqa: E731  a few rows a task
     curves = listed(curve, "curve", "step", "budget", "threshold", "test_rate", "test_accuracy", "mean_generations", "cost_ratio").join(selected, "task")

@@ -82,7 +82,7 @@ def aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.usable(_rows(spark, sf_dir))
+    return analysis.usable(_rows(spark, sf_dir)).persist()  # dev and test are read several times
 
 
 def logistic_calibrator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cascade_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = dev_test_split(ad.cascade_rows(spark, sf_dir), key="prompt_id")
+    rows = dev_test_split(ad.cascade_rows(spark, sf_dir), key="prompt_id").persist()  # both halves are read several times
     return rows.where("split = 'dev'"), rows.where("split = 'test'")
 
 
@@ -217,17 +217,17 @@ def cascade_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(curve.withColumn("step", F.col("step").cast("long")), ["task", "step", "budget"], "threshold", "dev_accuracy", "test_rate", "test_accuracy", "mean_generations", "cost_ratio")
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dev, test = _cascade_halves(spark, sf_dir)
-    return decisions.cheapest_point(decisions.cascade_curve(dev, test, ["task"]), ["task"])
+def _chosen(dev: DataFrame, test: DataFrame) -> DataFrame:
+    return decisions.cheapest_point(decisions.cascade_curve(dev, test, ["task"]).persist(), ["task"])
 
 
 def cascade_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(_selected(spark, sf_dir), ["task", "budget"], "dev_accuracy", "test_rate", "test_accuracy", "mean_generations")
+    return _each(_chosen(*_cascade_halves(spark, sf_dir)), ["task", "budget"], "dev_accuracy", "test_rate", "test_accuracy", "mean_generations")
 
 
 def policy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reports.policy_comparison(_selected(spark, sf_dir), decisions.baselines(_cascade_halves(spark, sf_dir)[1], ["task"]))
+    dev, test = _cascade_halves(spark, sf_dir)
+    found = reports.policy_comparison(_chosen(dev, test), decisions.baselines(test, ["task"]))
     return _each(found, ["task", "n_test"], "greedy_accuracy", "majority_accuracy", "test_accuracy", "gain", "recovered", "recovered_share")
 
 
