@@ -133,9 +133,10 @@ def bootstrap(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", po
         numbered = rows.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1)
         sizes = rows.groupBy(*by).agg(F.count("*").alias("m"))
         # Groups of one size share a draw table.
-        draws = sizes.select("m").distinct().select("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("draw")).select("m", "draw", reps)
+        # Each replicate is drawn in a task of its own; the counts are far larger than their source looks, so they aren't broadcast.
+        draws = sizes.select("m").distinct().select("m", reps).repartition("m", "rep").select("m", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("draw"))
         counts = draws.withColumn("idx", resample_counts(F.col("m"), replicates, seed=seed)).groupBy("m", "rep", "idx").agg(F.count("*").alias("k"))
-        drawn = numbered.join(sizes, by).join(counts, ["m", "idx"]).drop("m", "idx")
+        drawn = numbered.join(sizes, by).join(counts.hint("merge"), ["m", "idx"]).drop("m", "idx")
     elif mode == "poisson":
         unit = (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "pos")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
         cumulative, p, k = 0.0, 0.36787944117144233, F.lit(0)

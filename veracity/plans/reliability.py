@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis, calibrate, decisions, metrics, reports
 from ..operators import signals as sg
-from ..operators.registry import BUDGETS, NEAR_BEST, NUM_SAMPLES, TARGETS, TIER_CUTS, target_ladder
+from ..operators.registry import BOOTSTRAP, BUDGETS, NEAR_BEST, NUM_SAMPLES, TARGETS, TIER_CUTS, target_ladder
 from ..operators.reports import shown
 from ..operators.split import dev_test_split
 from ..sources import adapters as ad
@@ -18,8 +18,8 @@ from .oracle import shown as sql_shown
 
 KEYS = analysis.KEYS
 TASKS = ["gsm8k", "nq_open"]
-#: Replicates of the intervals in these queries; the operator's default is 1000.
-REPLICATES = 50
+#: Replicates of the intervals in these queries and in their SQL.
+REPLICATES = BOOTSTRAP
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,8 +249,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every figure of every signal in one table (few replicates)."""
-    return analysis.evaluate_signals(_rows(spark, sf_dir), replicates=10).select(*KEYS, "rank", *[shown(F.col(c)).alias(c) for c in ("auroc", "auroc_lower", "auroc_upper", "aurc", "aurc_lower", "aurc_upper", "ece_fixed_width", "ece_equal_mass", "brier")])
+    """Every figure of every signal in one table."""
+    return analysis.evaluate_signals(_rows(spark, sf_dir), replicates=REPLICATES).select(*KEYS, "rank", *[shown(F.col(c)).alias(c) for c in ("auroc", "auroc_lower", "auroc_upper", "aurc", "aurc_lower", "aurc_upper", "ece_fixed_width", "ece_equal_mass", "brier")])
 
 
 def task_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
