@@ -5,8 +5,10 @@ record is kept apart; the original records come back through a join of the two.
 
 Cases: a null payload is empty; equal payloads of at least `least` bytes become one response
 (the smallest id) and revisits; shorter ones are all responses; repeated rows of one id are
-records of their own that share an id (all of the responding id's rows are responses); an
-empty table gives an empty archive; further columns of the input are ignored.
+records of their own that share an id (all of the responding id's rows are responses); rows without
+an id come last: they are revisits of the smallest id where a row with one holds the payload, and else
+all responses, and their record id is <urn:page:none>; an empty table gives an empty archive; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.col("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"), F.concat_ws("-", F.sha2(payload, 256), F.octet_length(payload)).alias("key"))
     first = rows.groupBy("key").agg(F.min("page_id").alias("first_id"))
     rows = rows.join(first, "key")
-    revisit = (F.col("payload_bytes") >= least) & (F.col("page_id") > F.col("first_id"))
+    revisit = (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") > F.col("first_id"), F.col("first_id").isNotNull())
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:page:none")), r"[\x00-\x20\x7F]", "%20")
-    identity = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    identity = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.col("record_type"),
         F.lit(f"{CRLF}WARC-Record-ID: "), identity(F.col("page_id")),
@@ -59,12 +61,14 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
     heads = records(pages, least)
     heads.select("page_id", "key", "header").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/headers")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    # The smallest id of each key, found without moving payloads; its other copies fall out here.
-    keyed = pages.select("page_id", payload.alias("payload")).withColumn("key", F.concat_ws("-", F.sha2("payload", 256), F.octet_length("payload")))
-    keep = heads.select("key", "first_id").groupBy("key", "first_id").agg(F.lit(1).alias("one"))
-    once = keyed.join(keep, (keyed["key"] == keep["key"]) & (keyed["page_id"] == keep["first_id"])).select(keyed["key"], "payload", "page_id")
+    # The smallest id of each key, found without moving payloads; its other copies fall out here. An
+    # id that may be missing is two plain columns, so that join and grouping share one exchange.
+    place = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias("id"), F.col(c).isNull().alias("none"))
+    keyed = pages.select(*place("page_id"), payload.alias("payload")).withColumn("key", F.concat_ws("-", F.sha2("payload", 256), F.octet_length("payload")))
+    keep = heads.select("key", *place("first_id")).distinct()
+    once = keyed.join(keep, ["key", "id", "none"])
     # Rows that repeat the responding id hold the same payload: one of them is enough.
-    once.groupBy("page_id", "key").agg(F.any_value("payload").alias("payload")).select("key", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    once.groupBy("key", "id", "none").agg(F.any_value("payload").alias("payload")).select("key", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
