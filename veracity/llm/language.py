@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -47,7 +47,10 @@ def dictionaries(docs: DataFrame) -> list[tuple[str, bytes]]:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, TRAIN_ROWS / n))))]) if counts else F.create_map(F.lit(""), F.lit(0))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)))
+    marked = known.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(11)))
+    sample = marked.where(F.pmod("hash", F.lit(1 << 30)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)))
+    # Copies of a row share a hash and count once; what is left is about TRAIN_ROWS a language.
+    sample = sample.dropDuplicates(["lang", "hash"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= TRAIN_ROWS)
     got: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
     for r in sample.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect():
         got[r["lang"]].append((r["doc_id"], letters(r["text"])))

@@ -254,11 +254,11 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> Field:
-    """Fit on a bounded sample, by a hash of the id, of the rows that hold candidates."""
-    some = docs.select("doc_id", "text").where((F.octet_length("text") <= text_bytes) & F.col("text").rlike("[0-9@]"))
+    """Fit on a sample of at most `rows`, by a hash of id and text, of the rows that hold candidates."""
+    some = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("hash")).where((F.octet_length("text") <= text_bytes) & F.col("text").rlike("[0-9@]"))
     share = rows / max(rows, some.count())
-    chosen = some.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return Field.fit([r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"], r["text"]))])
+    chosen = some.where(F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("hash").limit(rows)
+    return Field.fit([r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))])
 
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_further long"
