@@ -4,6 +4,7 @@ clustering, which depends on their order and sees distinct answers only."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +76,29 @@ def semantic_clusters(samples: DataFrame, same: Callable[[Column, Column], Colum
     return samples.join(labels, [key, answer])
 
 
+def model_clusters(samples: DataFrame, same: Callable[[Column, Column], Column], carry: tuple[str, ...] = ("question",), answer: str = "answer", key: str = "prompt_id", index: str = "sample_idx") -> DataFrame:
+    """semantic_clusters() for a `same` that a model decides (a Python UDF can't run inside an array's fold), and that may
+    read the columns in `carry`, which are one value a prompt. Each round makes a prompt's first answer without a label the head of
+    the next cluster and decides, in batches of rows, which of its other answers join it; there are as many rounds as the
+    most clusters of a prompt. A null answer is a cluster of its own."""
+    spark = samples.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    left = samples.groupBy(key, answer).agg(F.min(index).alias("_first"), *[F.first(c, ignorenulls=True).alias(c) for c in carry]).checkpoint()
+    labels, label = None, 0
+    while labels is None or not left.isEmpty():
+        heads = left.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("_first", answer)).alias("_head"))
+        pairs = left.join(heads, F.col(key).eqNullSafe(F.col("_key")))
+        pairs = pairs.select(*left.columns, F.col(f"_head.{answer}").alias("_rep"), F.struct("_first", answer).eqNullSafe(F.col("_head")).alias("_is_head"))
+        asked = ~F.col("_is_head") & F.col(answer).isNotNull() & F.col("_rep").isNotNull()
+        decided = pairs.where(asked).withColumn("_same", F.coalesce(same(F.col(answer), F.col("_rep")), F.lit(False)))
+        decided = decided.unionByName(pairs.where(~asked).withColumn("_same", F.col("_is_head"))).checkpoint()
+        joined = decided.where("_same").select(F.col(key).alias("_key"), F.col(answer).alias("_answer"), F.lit(label).alias("label"))
+        labels = joined if labels is None else labels.unionByName(joined)
+        left, label = decided.where("not _same").select(*left.columns), label + 1
+    return samples.join(labels, F.col(key).eqNullSafe(F.col("_key")) & F.col(answer).eqNullSafe(F.col("_answer"))).drop("_key", "_answer")
+
+
 def sentence_uncertainty(labelled: DataFrame, answer: str = "answer", key: str = "prompt_id") -> DataFrame:
     """The seven sample signals of samples with labels and log-likelihoods."""
     text = entropy_of_counts(labelled, answer, key).toDF(key, "lexical_entropy", "self_consistency", "num_distinct_answers")

@@ -33,7 +33,8 @@ def exploded_steps(generations: DataFrame) -> DataFrame:
 
 
 def entailment(predict: Callable[[list[tuple[str, str]]], list[bool]], size: int = 32) -> Callable[[Column, Column], Column]:
-    """A vectorised (premise, hypothesis) -> boolean column of a batch predictor."""
+    """A vectorised (premise, hypothesis) -> boolean column of a batch predictor; clusters by it are
+    operators.samples.model_clusters()."""
 
     @F.pandas_udf(T.BooleanType())
     def decide(premise: pd.Series, hypothesis: pd.Series) -> pd.Series:
