@@ -1,7 +1,7 @@
 """The corpus pipeline (part of veracity.llm): quality, near-duplicates, benchmark passages,
 personal data, pieces. Each stage works on all that the one before it kept.
 
-A row keeps the columns of documents until the last stage, which gives its piece ids.
+A row keeps the columns of documents until the last stage, which gives its piece ids and decodes them.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_pieces and the piece ids of the text."""
-    return pieces.encode(docs).select("doc_id", "source", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
+    """doc_id, source, lang, n_pieces, the piece ids of the text, and whether they give it back."""
+    both = pieces.decode(pieces.encode(docs))
+    return both.select("doc_id", "source", "lang", F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [
@@ -46,8 +47,8 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces_stage),
 ]
 
-#: No SQL: the classifier, the field and the pieces are beyond it. tests/llm holds run() against a
-#: brute-force version.
+#: No SQL: the classifier, the field and the pieces are beyond it. tests/llm holds the classifier to its
+#: labels, and the other stages of run() against brute force (the field's weights are taken as trained).
 ORACLE_SQL = None
 
 
