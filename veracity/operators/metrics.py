@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import finite
 from .registry import BOOTSTRAP, CONFIDENCE, NUM_BINS, SEED
+from .split import PREFIX
 
 NAN = float("nan")
 RANGES = 32
@@ -123,14 +124,18 @@ def bootstrap(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", po
     """by..., value, lower, upper. Rows are drawn with replacement, paired, as counts per row; replicates
     without a value fall out.
 
-    multinomial draws n places by hash (they must be numbered, so use it up to some thousand rows a
-    group); poisson gives each row an independent Poisson(1) count from a hash and needs no numbering:
-    the form for large groups, one pass, no draw table.
+    multinomial draws n places by hash, numbered by counts of hash prefixes of `pos` as in split.py; its draw
+    table has n rows a replicate. poisson gives each row an independent Poisson(1) count from a hash and needs
+    no numbering: the form for large groups, one pass, no draw table.
     """
     rows = scored.where(finite(F.col(u))).select(*by, F.col(u).alias("u"), F.col(ok).alias("ok"), F.col(pos).alias("pos"))
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
     if mode == "multinomial":
-        numbered = rows.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1)
+        parts = rows.withColumn("_p", F.substring("pos", 1, PREFIX))
+        order = Window.partitionBy(*by).orderBy("_p")
+        below = parts.groupBy(*by, "_p").agg(F.count("*").alias("_c")).select(*by, "_p", (F.sum("_c").over(order) - F.col("_c")).alias("_below"))
+        inside = Window.partitionBy(*by, "_p").orderBy("pos")
+        numbered = parts.join(below, [*by, "_p"]).withColumn("idx", F.col("_below") + F.row_number().over(inside) - 1).drop("_p", "_below")
         sizes = rows.groupBy(*by).agg(F.count("*").alias("m"))
         # Groups of one size share a draw table.
         # Each replicate is drawn in a task of its own; the counts are far larger than their source looks, so they aren't broadcast.
@@ -148,11 +153,11 @@ def bootstrap(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", po
         raise ValueError(f"unknown mode: {mode}")
     keys = [*by, "rep"]
     if metric == "auroc":
-        each = auroc(rank_table(drawn, keys, weight=F.col("k"), ranges=1), keys)
+        each = auroc(rank_table(drawn, keys, weight=F.col("k")), keys)
         point = auroc(rank_table(rows, by), by)
     elif metric == "aurc":
         copies = drawn.select(*keys, "u", "ok", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("k")), lambda i: F.concat("pos", F.lpad(i.cast("string"), 4, "0")))).alias("pos"))
-        each, point = aurc(risk_coverage(copies, keys, ranges=1), keys), aurc(risk_coverage(rows, by), by)
+        each, point = aurc(risk_coverage(copies, keys), keys), aurc(risk_coverage(rows, by), by)
     else:
         raise ValueError(f"unknown metric: {metric}")
     tail = (1 - confidence) / 2
