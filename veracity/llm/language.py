@@ -52,10 +52,28 @@ def dictionaries(docs: DataFrame) -> list[tuple[str, bytes]]:
     # Copies of a row share a hash and count once; what is left is about TRAIN_ROWS a language.
     sample = sample.dropDuplicates(["lang", "hash"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= TRAIN_ROWS)
     got: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
-    for r in sample.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect():
-        got[r["lang"]].append((r["doc_id"], letters(r["text"])))
+    # A piece from anywhere in the whole text, by a hash of its own.
+    start = F.pmod(F.xxhash64("hash", F.lit(13)), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
+    for r in sample.select("hash", "lang", F.col("text").substr(start, F.lit(TRAIN_CHARS)).alias("text")).collect():
+        got[r["lang"]].append((r["hash"], letters(r["text"])))
     order = sorted(counts, key=lambda k: (-counts[k], k))
-    return [(k, " ".join(dict.fromkeys(t for _, t in sorted(got[k]))).encode()[-DICTIONARY:]) for k in order]
+    return [(k, filled(list(dict.fromkeys(t for _, t in sorted(got[k]) if t)))) for k in order]
+
+
+def filled(texts: list[str], room: int = DICTIONARY) -> bytes:
+    """The texts in their order; where they don't fit, each has an equal share, and what shorter ones leave goes to the
+    others. The places of the cuts go from the heads of the first texts to the ends of the last."""
+    made, left, share = [t.encode() for t in texts], room, room
+    for i, n in enumerate(sorted(len(t) + 1 for t in made)):
+        share = left // (len(made) - i)
+        if n > share:
+            break
+        left -= n
+    else:
+        share = room
+    size, last = max(share - 1, 0), max(len(made) - 1, 1)
+    at = [max(len(t) - size, 0) * i // last for i, t in enumerate(made)]
+    return b" ".join(t[a : a + size].decode(errors="ignore").encode() for a, t in zip(at, made, strict=True))
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
