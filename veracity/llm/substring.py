@@ -278,8 +278,9 @@ class FingerprintIndex:
         return result
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """Add docs(doc_id, text) to a fresh index in batches of ascending ids."""
+def remove_repeats(docs: DataFrame, batches: int = MAX_RUNS + 2) -> DataFrame:
+    """Add docs(doc_id, text) to a fresh index in batches of ascending ids; by default so many that the
+    index is compacted and the last batch is merged with the compacted run."""
     index, place = FingerprintIndex(docs.sparkSession), blocks.id_of()
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
