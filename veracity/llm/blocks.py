@@ -1,7 +1,9 @@
 """Texts dealt in blocks, and sampled window fingerprints (shared by operators 2 and 8).
 
-Documents are dealt to blocks by a hash of their id. A block's texts travel compressed, stay in the
-shared checkpoint folder, and are read there by each later step without another shuffle of text.
+Documents are dealt to blocks by a hash of id and text, so that rows that share an id (or have none) are spread too. A
+block's texts travel compressed, stay in the shared folder, and are read there by each later step without another shuffle
+of text. What blocks and groups tell each other are rows of fixed kinds (a mark and its block, a context, a mask), which Spark
+groups by key: their number follows the windows, whatever the number of blocks or partitions.
 
 Windows of `win` neighbouring symbols are sampled by minimizers: the anchor of a window is its k-gram with the
 smallest hash (leftmost on ties), so equal windows have equal anchors at equal places, and only
@@ -17,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, can_checkpoint, grams, input_bytes, mix, parallelism, small_batches
+from .common import SLICE_BYTES, U64, can_checkpoint, grams, mix, parallelism, small_batches, text_bytes
 
 #: Text bytes gathered in a task before they are packed, and text bytes a block should not exceed.
 PACK_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
@@ -32,7 +34,7 @@ TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 def block_count(docs: DataFrame) -> int:
     """Two blocks for each shuffle partition, more if those would be too large."""
-    return max(2 * parallelism(docs.sparkSession), input_bytes(docs.select("doc_id", "text")) // BLOCK_BYTES)
+    return max(2 * parallelism(docs.sparkSession), -(-text_bytes(docs) // BLOCK_BYTES))
 
 
 def settled(df: DataFrame, key: str) -> DataFrame:
@@ -51,7 +53,7 @@ def settled(df: DataFrame, key: str) -> DataFrame:
 def deal(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
     """(blk, pack) of docs(doc_id, text): blocks first .. first + count - 1."""
     small_batches(docs.sparkSession)
-    rows = docs.select(id_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), block_of(id_of(), count, first).alias("blk"))
+    rows = docs.select(id_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), block_of(count, first).alias("blk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -91,8 +93,47 @@ def with_ids(result: DataFrame) -> DataFrame:
     return result.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def block_of(doc_id, count: int, first: int = 0):
-    return (F.pmod(F.xxhash64(doc_id), F.lit(count)) + first).cast("int")
+def block_of(count: int, first: int = 0):
+    """The block of a row of docs(doc_id, text)."""
+    return (F.pmod(F.xxhash64(id_of(), F.coalesce("text", F.lit(""))), F.lit(count)) + first).cast("int")
+
+
+#: What a block is told, as rows: `kind` says what the numbers are.
+NOTES = "blk int, kind int, a long, b long, digest binary"
+COPY, SHARED, MASK = 0, 1, 2
+_NOTES = {"blk": pa.int32(), "kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "digest": pa.binary()}
+MARKS = "mark long, blk int, variety int"
+
+
+def noted(notes: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a block's notes of one kind."""
+    chosen = notes.filter(pa.array(notes["kind"].to_numpy() == kind))
+    return chosen["a"].to_numpy(), chosen["b"].to_numpy()
+
+
+def note_rows(blk: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(blk, pa.int32()), pa.array(np.full(len(blk), kind), pa.int32()), pa.array(a), pa.array(b), pa.nulls(len(blk), pa.binary())], schema=pa.schema(_NOTES))
+
+
+def mark_rows(blk: int, marks: np.ndarray, variety: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(marks.view(np.int64)), pa.array(np.full(len(marks), blk), pa.int32()), pa.array(variety, pa.int32())], names=["mark", "blk", "variety"])
+
+
+def met(marks: DataFrame, hot: int, where: str = "true") -> DataFrame:
+    """Notes (SHARED: a the mark, b whether it is hot) for the blocks of marks(mark, blk, variety) that share a mark with
+    another block, or whose mark is hot: has `hot` different contexts or more in all. A block has one row a mark. `where` may use `at`,
+    the largest block that has the mark."""
+    by = Window.partitionBy("mark")
+    seen = marks.select("mark", "blk", F.count("*").over(by).alias("n"), F.sum("variety").over(by).alias("v"), F.max("blk").over(by).alias("at"))
+    return seen.where(f"(n > 1 or v >= {hot}) and ({where})").select("blk", F.lit(SHARED).alias("kind"), F.col("mark").alias("a"), F.expr(f"if(v >= {hot}, 1L, 0L)").alias("b"), F.lit(None).cast("binary").alias("digest"))
+
+
+def bucketed(contexts: DataFrame, notes: DataFrame, windows: int, rows: int = 40_000) -> DataFrame:
+    """contexts(key, ...) with `bucket`, a hash of the key: as many buckets as give about `rows` contexts each, judged by the notes
+    that ask for them (a hot mark asks for `windows`)."""
+    spark = contexts.sparkSession
+    asked = notes.where(F.col("kind") == SHARED).agg(F.sum(1 + F.col("b") * (windows - 1))).first()[0] or 0
+    return contexts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(parallelism(spark), -(-asked // rows)))))
 
 
 def unpack(packs: pa.ChunkedArray) -> pa.Table:
@@ -173,11 +214,3 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + length, -1)
     return np.cumsum(edge[:-1]) > 0
-
-
-def bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
-
-
-def flags(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)

@@ -3,7 +3,6 @@ string kernels that turn an Arrow column of texts into flat byte / word arrays."
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts handled together inside one task, in bytes. One longer text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -38,10 +38,12 @@ def small_batches(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share. The setting is
-    read from the session; only where it is unset (local tests) a local one is made."""
+    read from the session; only a local master (tests) may go without it and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "veracity-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/veracity-{uuid.uuid4().hex}"
 
@@ -62,11 +64,9 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, 0 where it has none (it then says exabytes); it only sizes how
-    finely work is dealt out."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 55 else 0
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """UTF-8 bytes of a column, counted."""
+    return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +80,10 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batch, column: str = "text", limit: int = SLICE_BYTES):
-    """Cut a batch into pieces of about `limit` bytes of text, whole rows only."""
+def slices(batch, *columns: str, limit: int = SLICE_BYTES):
+    """Cut a batch into pieces of about `limit` bytes of its text columns together, whole rows only."""
     rows = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
-    lengths = pc.fill_null(pc.binary_length(rows[column].cast(pa.large_binary())), 0).to_numpy()
+    lengths = sum(pc.fill_null(pc.binary_length(rows[c].cast(pa.large_binary())), 0).to_numpy() for c in columns or ("text",))
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > limit:

@@ -5,7 +5,7 @@ Windows are judged on the input. Steps, each a Spark stage over blocks of docume
 
 1. exact copies: only the smallest id of equal texts goes on (a copy of WINDOW bytes or more is
    removed whole);
-2. anchors: each block sends the marks of its sampled windows; a mark that one block's documents
+2. anchors: each block sends the marks of its sampled windows, a row each; a mark that one block's documents
    alone have, and one document only, drops out;
 3. contexts: blocks send the bytes around the remaining anchors, equal ones once with the smallest
    id. An anchor of HOT distinct contexts or more is hot: its windows go one by one, dealt by
@@ -16,9 +16,12 @@ Windows are judged on the input. Steps, each a Spark stage over blocks of docume
    Equal suffixes are one class with a smallest id;
 5. removal: each block learns which of its windows start in a smaller id.
 
-Cases: a null or empty text has no bytes and nothing to remove; texts below WINDOW bytes stay whole;
-rows that repeat an id (or have none, and then come last) are one document to the others and not
-removed for each other; an empty table gives an empty result; further columns are not read.
+A task meets one row of a context from each block at most, and whole blocks of BLOCK_BYTES of text.
+
+Cases: a null or empty text has no bytes and nothing to remove; texts below WINDOW bytes stay whole; a very long text
+is compared whole, in a block of its own size; rows that repeat an id (or have none, and then come last) are one document to the
+others and not removed for each other, so that ties don't arise; repeated rows are rows of the result each; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,10 +161,12 @@ def smaller(key: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Block:
     """One block's documents (exact copies left out), anchors, and the contexts it sends."""
 
-    def __init__(self, packs: pa.ChunkedArray, copies: set[tuple[int, bytes]], buckets: int):
+    def __init__(self, packs: pa.ChunkedArray, notes: pa.Table):
         rows = blocks.unpack(packs)
         self.all_ids = rows["doc_id"].to_numpy()
         self.raw, self.offsets = flat(rows["text"])
+        told = notes.filter(pa.array(notes["kind"].to_numpy() == blocks.COPY))
+        copies = set(zip(told["a"].to_pylist(), told["digest"].to_pylist(), strict=True))
         maybe = {i for i, _ in copies}
         self.copied = np.array([d in maybe and (d, hashlib.sha256(self.raw[a:b]).digest()) in copies for d, a, b in zip(self.all_ids.tolist(), self.offsets[:-1], self.offsets[1:], strict=True)], bool)
         lengths = np.where(self.copied, 0, np.diff(self.offsets))
@@ -172,8 +176,6 @@ class Block:
         self.anchors = blocks.sampled_in_slices(lambda a, b: BYTE_CODE[raw[a:b]], self.own_offsets, GRAM, WINDOW)
         self.ids = self.all_ids[self.anchors.doc]
         self.marks = np.unique(self.anchors.mark)
-        self.bucket = (self.marks >> U64(20)) % U64(buckets)
-        self.buckets = buckets
 
     def contexts(self, low: np.ndarray, windows: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The rows of contexts: bytes of the windows from `low` on, place of the anchor, number of windows."""
@@ -192,13 +194,12 @@ class Block:
         first, _ = unique_rows(np.concatenate([some.mark.view(np.uint8).reshape(-1, 8), rows], 1))
         return np.maximum(np.bincount(np.searchsorted(self.marks, some.mark[first]), minlength=len(self.marks)), 1)
 
-    def choose(self, seen: dict[int, tuple[bytes, bytes]]) -> None:
-        """Keep the anchors found elsewhere (seen: bucket -> bits of its marks: repeated, hot) or in
-        two documents here, and lay out their contexts, each distinct one once."""
-        again, hot = np.zeros(len(self.marks), bool), np.zeros(len(self.marks), bool)
-        for b, (some, many) in seen.items():
-            at = np.flatnonzero(self.bucket == b)
-            again[at], hot[at] = blocks.flags(some, len(at)), blocks.flags(many, len(at))
+    def choose(self, notes: pa.Table) -> None:
+        """Keep the anchors found elsewhere or in two documents here, and lay out their contexts, each
+        distinct one once."""
+        mark, many = blocks.noted(notes, blocks.SHARED)
+        mark = mark.view(np.uint64)
+        again, hot = np.isin(self.marks, mark), np.isin(self.marks, mark[many > 0])
         where = np.searchsorted(self.marks, self.anchors.mark)
         chosen = again[where] | blocks.in_two_texts(self.anchors.mark, self.ids)
         found, ids, hot = self.anchors.take(chosen), self.ids[chosen], hot[where][chosen]
@@ -219,13 +220,12 @@ class Block:
         self.least = np.full(len(first), _FAR)
         np.minimum.at(self.least, self.entry, self.doc)
         self.key, self.rows = key[first], rows[first]
-        self.entry_bucket = (self.key >> U64(20)) % U64(self.buckets)
 
-    def starts(self, masks: dict[int, np.ndarray]) -> np.ndarray:
-        """First bytes of the windows that a smaller id has (masks: bucket -> of its contexts)."""
+    def starts(self, notes: pa.Table) -> np.ndarray:
+        """First bytes of the windows that a smaller id has."""
+        entry, told = blocks.noted(notes, blocks.MASK)
         mask = np.zeros(len(self.key), np.uint64)
-        for b, part in masks.items():
-            mask[self.entry_bucket == b] = part
+        mask[entry] = told.view(np.uint64)
         # In the block's other documents with the same context every window is such.
         full = (U64(1) << self.windows.astype(np.uint64)) - U64(1)
         own = np.where(self.doc > self.least[self.entry], full, mask[self.entry])
@@ -233,35 +233,13 @@ class Block:
         return np.concatenate(out)
 
 
-MARKS = "bucket int, blk int, marks binary, variety binary"
-NOTES = "blk int, kind int, bucket int, doc_id long, first binary, second binary"
-CONTEXTS = "bucket int, blk int, key binary, doc binary, rows binary"
+CONTEXTS = "key long, blk int, entry long, doc long, context binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
-def _copies(notes: pa.Table) -> set[tuple[int, bytes]]:
-    """(id, digest) of the block's exact copies."""
-    return {(r["doc_id"], r["first"]) for r in notes.to_pylist() if r["kind"] == 0}
-
-
-def _seen(notes: pa.Table) -> dict[int, tuple[bytes, bytes]]:
-    return {r["bucket"]: (r["first"], r["second"]) for r in notes.to_pylist() if r["kind"] == 1}
-
-
-_MARKS = {"bucket": pa.int32(), "blk": pa.int32(), "marks": pa.binary(), "variety": pa.binary()}
-_CONTEXTS = {"bucket": pa.int32(), "blk": pa.int32(), "key": pa.binary(), "doc": pa.binary(), "rows": pa.binary()}
-_NOTES = {"blk": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "doc_id": pa.int64(), "first": pa.binary(), "second": pa.binary()}
+_MARKS = {"mark": pa.int64(), "blk": pa.int32(), "variety": pa.int32()}
+_CONTEXTS = {"key": pa.int64(), "blk": pa.int32(), "entry": pa.int64(), "doc": pa.int64(), "context": pa.binary()}
 _RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
-
-
-def _unpacked(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
-
-
 def _table(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns, strict=True)})
@@ -270,10 +248,10 @@ def _table(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
 def exact_copies(docs: DataFrame, count: int) -> DataFrame:
     """Notes of the documents whose whole text an id below theirs has. The least ids are checkpointed, so
     that Spark can split a text that many rows share in the join."""
-    rows = docs.where(F.octet_length("text") >= WINDOW).select(blocks.id_of().alias("doc_id"), F.sha2("text", 256).alias("h"))
+    rows = docs.where(F.octet_length("text") >= WINDOW).select(blocks.id_of().alias("doc_id"), F.sha2("text", 256).alias("h"), blocks.block_of(count).alias("blk"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least").checkpoint()
     found = rows.join(first, "h").where("doc_id > least")
-    return found.select(blocks.block_of(F.col("doc_id"), count).alias("blk"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "doc_id", F.unhex("h").alias("first"), F.lit(None).cast("binary").alias("second"))
+    return found.select("blk", F.lit(blocks.COPY).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"), F.unhex("h").alias("digest"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -281,7 +259,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     can_checkpoint(spark)
     count = blocks.block_count(docs)
-    buckets = (count + 1) // 2  # a block sends each bucket one row: half as many keep the rows larger
     packs = blocks.deal(docs, count)
     copies = exact_copies(docs, count).checkpoint()
 
@@ -291,55 +268,34 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def send_marks(packed: pa.Table, notes: pa.Table) -> pa.Table:
         if not packed.num_rows:
             return _table(_MARKS, [])
-        block, blk = Block(packed["pack"], _copies(notes), buckets), packed["blk"][0].as_py()
-        order = np.argsort(block.bucket, kind="stable")
-        cut = np.searchsorted(block.bucket[order], np.arange(buckets + 1).astype(np.uint64))
-        marks, variety = block.marks[order], block.variety()[order].astype(np.int32)
-        return _table(_MARKS, [(b, blk, marks[cut[b] : cut[b + 1]].tobytes(), _packed(variety[cut[b] : cut[b + 1]])) for b in range(buckets) if cut[b] < cut[b + 1]])
-
-    def meet_marks(sent: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, np.uint64) for x in sent["marks"].to_pylist()]
-        marks, back, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        variety = np.bincount(back, np.concatenate([_unpacked(x, np.int32) for x in sent["variety"].to_pylist()]))
-        rows, at = [], 0
-        for blk, bucket, own in zip(sent["blk"].to_pylist(), sent["bucket"].to_pylist(), lists, strict=True):
-            mine = back[at : at + len(own)]
-            rows.append((blk, 1, bucket, None, blocks.bits(n[mine] > 1), blocks.bits(variety[mine] >= HOT)))
-            at += len(own)
-        return _table(_NOTES, rows)
-
-    seen = cogrouped(copies, send_marks, MARKS).groupBy("bucket").applyInArrow(meet_marks, NOTES).checkpoint()
-    notes = copies.unionByName(seen)
+        block = Block(packed["pack"], notes)
+        return blocks.mark_rows(packed["blk"][0].as_py(), block.marks, block.variety())
+
+    notes = copies.unionByName(blocks.settled(blocks.met(cogrouped(copies, send_marks, blocks.MARKS), HOT), "blk"))
 
     def send_contexts(packed: pa.Table, notes: pa.Table) -> pa.Table:
         if not packed.num_rows:
             return _table(_CONTEXTS, [])
-        block, blk = Block(packed["pack"], _copies(notes), buckets), packed["blk"][0].as_py()
-        block.choose(_seen(notes))
-        rows = []
-        for b in np.unique(block.entry_bucket):
-            at = block.entry_bucket == b
-            rows.append((int(b), blk, *(_packed(x[at]) for x in (block.key, block.least, block.rows))))
-        return _table(_CONTEXTS, rows)
+        block = Block(packed["pack"], notes)
+        block.choose(notes)
+        n = len(block.key)
+        rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_ROW), n, [None, pa.py_buffer(np.ascontiguousarray(block.rows))]).cast(pa.binary())
+        return pa.table([pa.array(block.key.view(np.int64)), pa.array(np.full(n, packed["blk"][0].as_py()), pa.int32()), pa.array(np.arange(n)), pa.array(block.least), rows], schema=pa.schema(_CONTEXTS))
 
     def sort_suffixes(sent: pa.Table) -> pa.Table:
-        keys, docs_, texts = ([_unpacked(x, kind) for x in sent[name].to_pylist()] for name, kind in (("key", np.uint64), ("doc", np.int64), ("rows", np.uint8)))
-        masks = smaller(np.concatenate(keys), np.concatenate(docs_), np.concatenate(texts).reshape(-1, _ROW))
-        rows, at = [], 0
-        for blk, bucket, own in zip(sent["blk"].to_pylist(), sent["bucket"].to_pylist(), keys, strict=True):
-            rows.append((blk, 2, bucket, None, _packed(masks[at : at + len(own)]), None))
-            at += len(own)
-        return _table(_NOTES, rows)
+        masks = smaller(sent["key"].to_numpy().view(np.uint64), sent["doc"].to_numpy(), flat(sent["context"])[0].reshape(-1, _ROW))
+        some = masks > 0
+        return blocks.note_rows(sent["blk"].to_numpy()[some], blocks.MASK, sent["entry"].to_numpy()[some], masks[some].view(np.int64))
 
-    masks = cogrouped(notes, send_contexts, CONTEXTS).groupBy("bucket").applyInArrow(sort_suffixes, NOTES).checkpoint()
+    contexts = blocks.bucketed(cogrouped(notes, send_contexts, CONTEXTS), notes, WINDOW - GRAM + 1)
+    masks = contexts.groupBy("bucket").applyInArrow(sort_suffixes, blocks.NOTES)
 
     def remove(packed: pa.Table, notes: pa.Table) -> pa.Table:
         if not packed.num_rows:
             return _table(_RESULT, [])
-        block = Block(packed["pack"], _copies(notes), buckets)
-        block.choose(_seen(notes))
-        got = {r["bucket"]: _unpacked(r["first"], np.uint64) for r in notes.to_pylist() if r["kind"] == 2}
-        gone = blocks.covered(block.starts(got), WINDOW, len(block.own))
+        block = Block(packed["pack"], notes)
+        block.choose(notes)
+        gone = blocks.covered(block.starts(notes), WINDOW, len(block.own))
         rows, own = [], block.own_offsets
         for i, doc in enumerate(block.all_ids.tolist()):
             body = block.raw[block.offsets[i] : block.offsets[i + 1]]
