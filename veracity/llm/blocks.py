@@ -51,7 +51,12 @@ def settled(df: DataFrame, key: str) -> DataFrame:
 
 
 def deal(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
-    """(blk, pack) of docs(doc_id, text): blocks first .. first + count - 1."""
+    """(blk, pack) of docs(doc_id, text), settled by block: blocks first .. first + count - 1."""
+    return settled(packs_of(docs, count, first), "blk")
+
+
+def packs_of(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
+    """(blk, pack) of docs(doc_id, text), several packs a block."""
     small_batches(docs.sparkSession)
     rows = docs.select(id_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), block_of(count, first).alias("blk"))
 
@@ -81,7 +86,7 @@ def deal(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
         if held:
             yield packed()
 
-    return settled(rows.mapInArrow(run, "blk int, pack binary"), "blk")
+    return rows.mapInArrow(run, "blk int, pack binary")
 
 
 def id_of(name: str = "doc_id"):

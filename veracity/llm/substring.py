@@ -1,59 +1,76 @@
 """Operator 8: incremental removal of repeated word windows with a log-structured fingerprint index.
 
 A word goes if a window of WINDOW words that covers it also starts in a document with a smaller id,
-in the same batch or in one added before. The index holds sorted immutable runs of the hashes of sampled
-windows (k words each, by minimizers, so that every WINDOW words hold one at a place that the words alone
-decide). Adding a batch:
+in the same batch or in one added before. The index lies below one folder and outlives the session: sorted immutable
+runs of the hashes of sampled windows (k words each, by minimizers, so that every WINDOW words hold one at a place that the words
+alone decide), the texts of each batch in blocks, and a manifest of what counts. Adding a batch:
 
-1. the batch's hashes become a new run: for each bucket of hashes one sorted array with the blocks they are in;
-2. the runs' arrays are merge-joined, bucket by bucket: what only one block has drops out;
+1. the batch's hashes become a new run: rows (mark, block), dealt and sorted by mark;
+2. each older run is merge-joined with it; what only one block has drops out. Runs lie bucketed by mark, so that history isn't
+   shuffled again;
 3. blocks of the batch and of the past that share a hash send the words around it (equal ones
-   once, with the smallest id), and windows are verified on the words themselves; a hash that a third of all
-   blocks have is hot, and its windows go one by one, dealt by their own hash;
-4. beyond MAX_RUNS, the runs are compacted into one.
+   once, with the smallest id), and windows are verified on the words themselves. A hash with HOT different contexts or more is
+   hot, and its windows go one by one, dealt by their own hash;
+4. a new manifest takes the batch in; beyond MAX_RUNS, the runs are merged into one, in as many buckets as its size asks for, and the old
+   ones are removed.
 
 Words are runs of bytes other than space and 0x09-0x0D, compared unchanged.
 
-Cases: a null or empty text has no words; texts below WINDOW words stay whole; rows that repeat an id
-(or have none, and then come last) are one document to the others and not removed for each other; an empty batch gives an empty
-result; further columns are not read. Ids of a later batch may be smaller; decisions about earlier
-batches then stand.
+Cases: a null or empty text has no words; texts below WINDOW words stay whole; a very long text is compared whole, in a block of its own
+size; rows that repeat an id (or have none, and then come last) are one document to the others and not removed for each other, so that ties
+don't arise; an empty batch gives an empty result; further columns are not read. Ids of a later batch may be smaller; decisions about
+earlier batches then stand.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import U64, can_checkpoint, grams, mix, shared_folder, word_hashes, words
+from .common import BASE, U64, can_checkpoint, drop_folder, grams, mix, parallelism, powers, shared_folder, word_hashes, words
 from .suffix import _table
 
 WINDOW, GRAM = 50, 8
-#: Runs that may lie side by side before they are compacted.
-MAX_RUNS = 4
+#: Different contexts of one hash, summed over the blocks, that a task may meet.
+HOT = 4000
+#: Runs that may lie side by side before they are compacted, and rows of a bucket of a run.
+MAX_RUNS, BUCKET_ROWS = 4, 4_000_000
 
-RUN = "bucket int, marks binary, blks binary"
-NOTES = "blk int, kind int, bucket int, first binary, second binary"
-CONTEXTS = "bucket int, blk int, pack binary"
+PACKS = "blk int, pack binary"
+CONTEXTS = "key long, blk int, entry long, doc long, before int, windows int, text binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_MARKS = {"bucket": pa.int32(), "blk": pa.int32(), "marks": pa.binary()}
-_RUN = {"bucket": pa.int32(), "marks": pa.binary(), "blks": pa.binary()}
-_NOTES = {"blk": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "first": pa.binary(), "second": pa.binary()}
-_CONTEXTS = {"bucket": pa.int32(), "blk": pa.int32(), "pack": pa.binary()}
+_CONTEXTS = {"key": pa.int64(), "blk": pa.int32(), "entry": pa.int64(), "doc": pa.int64(), "before": pa.int32(), "windows": pa.int32(), "text": pa.binary()}
 _RESULT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
-_CONTEXT = pa.schema([("key", pa.uint64()), ("doc", pa.int64()), ("before", pa.int32()), ("windows", pa.int32()), ("text", pa.binary())])
+_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+
+
+def save_bucketed(rows: DataFrame, path: str, key: str, count: int) -> None:
+    """Parquet files at `path`, dealt and sorted by `key`. The name in the catalog lasts for the writing only."""
+    name = f"veracity_{uuid.uuid4().hex}"
+    rows.repartition(count, key).write.bucketBy(count, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def load_bucketed(spark: SparkSession, path: str, schema: str, key: str, count: int) -> DataFrame:
+    """What save_bucketed() wrote; Spark knows how it is dealt."""
+    name = f"veracity_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet OPTIONS (path '{path}') CLUSTERED BY ({key}) SORTED BY ({key}) INTO {count} BUCKETS")
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 class Block:
     """One block's documents as words joined by one space, their anchors, and the contexts it sends."""
 
-    def __init__(self, packs: pa.ChunkedArray, buckets: int):
+    def __init__(self, packs: pa.ChunkedArray):
         rows = blocks.unpack(packs)
         self.all_ids = rows["doc_id"].to_numpy()
         self.texts = [b" ".join(t.encode().split()) for t in rows["text"].to_pylist()]
@@ -68,17 +85,27 @@ class Block:
         self.anchors = blocks.sampled_in_slices(lambda a, b: self.codes[a:b], self.offsets, GRAM, WINDOW, 1 << 18)
         self.ids = self.all_ids[self.anchors.doc]
         self.marks = np.unique(self.anchors.mark)
-        self.buckets = buckets
-
-    def bucket(self, marks: np.ndarray) -> np.ndarray:
-        return (marks >> U64(20)) % U64(self.buckets)
 
-    def choose(self, again: np.ndarray, hot: np.ndarray) -> None:
-        """Keep the anchors found elsewhere (sorted marks) or in two documents here, and lay out
+    def variety(self) -> np.ndarray:
+        """Distinct contexts of each mark in this block, told apart by prefix polynomial hashes."""
+        a, n = self.anchors, len(self.codes)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate(([U64(0)], np.cumsum(self.codes * powers(n), dtype=np.uint64)))
+            undo = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(n, _INVERSE))))
+            context = (sums[a.high + WINDOW] - sums[a.low]) * undo[a.low] + (a.place - a.low).astype(np.uint64)
+        _, first = np.unique(mix(context) + a.mark, return_index=True)
+        return np.maximum(np.bincount(np.searchsorted(self.marks, a.mark[first]), minlength=len(self.marks)), 1)
+
+    def choose(self, notes: pa.Table, own: bool) -> None:
+        """Keep the anchors found elsewhere or, in a block of the batch (own), in two documents here, and lay out
         their contexts, each distinct one once."""
-        chosen = np.isin(self.anchors.mark, again) | blocks.in_two_texts(self.anchors.mark, self.ids)
+        again, many = blocks.noted(notes, blocks.SHARED)
+        again = again.view(np.uint64)
+        chosen = np.isin(self.anchors.mark, again)
+        if own:
+            chosen |= blocks.in_two_texts(self.anchors.mark, self.ids)
         found, ids = self.anchors.take(chosen), self.ids[chosen]
-        single = np.isin(found.mark, hot)
+        single = np.isin(found.mark, again[many > 0])
         count = np.where(single, found.high - found.low + 1, 1)
         of = np.repeat(np.arange(len(count)), count)
         shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
@@ -95,15 +122,18 @@ class Block:
         self.entry = np.array([number.setdefault(x, len(number)) for x in zip(key.tolist(), before.tolist(), self.windows.tolist(), texts, strict=True)], np.int64)
         self.least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.entry, self.doc)
-        self.key = np.array([x[0] for x in number], np.uint64)
-        self.contexts = pa.table([pa.array(self.key), pa.array(self.least), pa.array([x[1] for x in number], pa.int32()), pa.array([x[2] for x in number], pa.int32()), pa.array([x[3] for x in number], pa.binary())], schema=_CONTEXT)
-        self.entry_bucket = self.bucket(self.key)
-
-    def starts(self, masks: dict[int, np.ndarray]) -> np.ndarray:
-        """First words of the windows that a smaller id has (masks: bucket -> of its contexts)."""
-        mask = np.zeros(len(self.key), np.uint64)
-        for b, part in masks.items():
-            mask[self.entry_bucket == b] = part
+        self.contexts = list(number)
+
+    def rows(self, blk: int) -> pa.Table:
+        key, before, n, text = (list(c) for c in zip(*self.contexts, strict=True)) if self.contexts else ([], [], [], [])
+        columns = (np.array(key, np.uint64).view(np.int64), np.full(len(key), blk), np.arange(len(key)), self.least, before, n, text)
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip(_CONTEXTS.items(), columns, strict=True)})
+
+    def starts(self, notes: pa.Table) -> np.ndarray:
+        """First words of the windows that a smaller id has."""
+        entry, told = blocks.noted(notes, blocks.MASK)
+        mask = np.zeros(len(self.contexts), np.uint64)
+        mask[entry] = told.view(np.uint64)
         full = (U64(1) << self.windows.astype(np.uint64)) - U64(1)
         own = np.where(self.doc > self.least[self.entry], full, mask[self.entry])
         return np.concatenate([self.low[(own >> U64(o)) & U64(1) > 0] + o for o in range(WINDOW - GRAM + 1)])
@@ -141,126 +171,99 @@ def verify(contexts: pa.Table) -> np.ndarray:
 
 
 class FingerprintIndex:
-    """The index over the batches added so far. Runs lie as Parquet below `path`; each batch's texts
-    are kept as checkpointed blocks, where later batches verify against them."""
+    """The index at `path`: what its newest manifest names, or empty. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         can_checkpoint(spark)
         self.spark, self.path = spark, path or shared_folder(spark)
-        self.runs: list[str] = []
-        self.packs: list[DataFrame] = []
-        self.ranges: list[tuple[int, int]] = []  # first and last block of each batch
-        self.blocks = self.buckets = 0
-
-    def _write_run(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{len(self.runs)}-{len(self.packs)}"
-        rows.write.mode("overwrite").parquet(path)
-        return path
-
-    def _past(self, runs: list[str]) -> DataFrame:
-        out = self.spark.read.schema(RUN).parquet(runs[0])
-        for path in runs[1:]:
-            out = out.unionByName(self.spark.read.schema(RUN).parquet(path))
-        return out
+        self.version, self.blocks = 0, 0
+        self.runs: list[dict] = []  # folder, buckets
+        self.batches: list[dict] = []  # folder, buckets, first and last block
+        if names := self._manifests():
+            self.version = max(names)
+            known = json.loads(self.spark.read.text(f"{self.path}/manifest-{self.version}").first()[0])
+            self.runs, self.batches, self.blocks = known["runs"], known["batches"], known["blocks"]
+
+    def _manifests(self) -> list[int]:
+        """Versions whose writing ended."""
+        jvm = self.spark.sparkContext._jvm
+        found = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*/_SUCCESS")
+        status = found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
+        return [int(s.getPath().getParent().getName().rpartition("-")[2]) for s in status]
+
+    def _commit(self) -> None:
+        self.version += 1
+        content = json.dumps({"runs": self.runs, "batches": self.batches, "blocks": self.blocks})
+        self.spark.createDataFrame([(content,)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
+
+    def _write(self, rows: DataFrame, kind: str, key: str, buckets: int) -> dict:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        save_bucketed(rows, f"{self.path}/{folder}", key, buckets)
+        return {"folder": folder, "buckets": buckets}
+
+    def _run(self, run: dict) -> DataFrame:
+        return load_bucketed(self.spark, f"{self.path}/{run['folder']}", blocks.MARKS, "mark", run["buckets"])
+
+    def _texts(self, batch: dict) -> DataFrame:
+        return load_bucketed(self.spark, f"{self.path}/{batch['folder']}", PACKS, "blk", batch["buckets"])
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-
-        def merge(rows: pa.Table) -> pa.Table:
-            marks = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["marks"].to_pylist()])
-            blks = np.concatenate([np.frombuffer(x, np.int32) for x in rows["blks"].to_pylist()])
-            order = np.lexsort((blks, marks))
-            return _table(_RUN, [(rows["bucket"][0].as_py(), marks[order].tobytes(), blks[order].tobytes())])
-
-        self.runs = [self._write_run(self._past(self.runs).groupBy("bucket").applyInArrow(merge, RUN))]
+        """Merge all runs into one and remove them."""
+        rows, old = self._run(self.runs[0]), self.runs
+        for run in old[1:]:
+            rows = rows.unionByName(self._run(run))
+        self.runs = [self._write(rows, "run", "mark", max(parallelism(self.spark), -(-rows.count() // BUCKET_ROWS)))]
+        self._commit()
+        for run in old:
+            drop_folder(self.spark, f"{self.path}/{run['folder']}")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed and the digest of the kept words, for docs(doc_id, text); the batch
         then belongs to the past."""
         first, count = self.blocks, blocks.block_count(docs)
-        self.buckets = buckets = self.buckets or (count + 1) // 2  # a block sends each bucket one row: half as many keep the rows larger
-        packs = blocks.deal(docs, count, first)
-        self.blocks += count
-        hot_from = max(32, self.blocks // 3)
+        batch = self._write(blocks.packs_of(docs, count, first), "texts", "blk", parallelism(self.spark)) | {"first": first, "last": first + count - 1}
+        packs = self._texts(batch)
 
         def send_marks(packed: pa.Table) -> pa.Table:
-            block, blk = Block(packed["pack"], buckets), packed["blk"][0].as_py()
-            bucket = block.bucket(block.marks)
-            return _table(_MARKS, [(int(b), blk, block.marks[bucket == b].tobytes()) for b in np.unique(bucket)])
-
-        def sort_run(sent: pa.Table) -> pa.Table:
-            lists = [np.frombuffer(x, np.uint64) for x in sent["marks"].to_pylist()]
-            blks = np.repeat(sent["blk"].to_numpy().astype(np.int32), [len(x) for x in lists])
-            marks = np.concatenate(lists)
-            order = np.lexsort((blks, marks))
-            return _table(_RUN, [(sent["bucket"][0].as_py(), marks[order].tobytes(), blks[order].tobytes())])
-
-        sent = packs.groupBy("blk").applyInArrow(send_marks, "bucket int, blk int, marks binary")
-        self.runs.append(self._write_run(sent.groupBy("bucket").applyInArrow(sort_run, RUN)))
-
-        def merge_join(rows: pa.Table) -> pa.Table:
-            marks = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["marks"].to_pylist()])
-            blks = np.concatenate([np.frombuffer(x, np.int32) for x in rows["blks"].to_pylist()])
-            order = np.argsort(marks, kind="stable")
-            marks, blks = marks[order], blks[order]
-            edge = np.flatnonzero(np.concatenate(([True], marks[1:] != marks[:-1])))
-            size = np.diff(np.concatenate((edge, [len(marks)])))
-            new = np.maximum.reduceat(blks, edge) >= first  # only what the batch has needs an answer
-            shared = np.repeat((size > 1) & new, size)
-            hot = np.repeat(size >= hot_from, size)[shared]
-            marks, blks = marks[shared], blks[shared]
-            out, bucket = [], rows["bucket"][0].as_py()
-            order = np.argsort(blks, kind="stable")
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(blks[order])) + 1, [len(order)])) if len(order) else np.zeros(1, np.int64)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own = order[a:b]
-                out.append((int(blks[own[0]]), 1, bucket, marks[own].tobytes(), marks[own][hot[own]].tobytes()))
-            return _table(_NOTES, out)
-
-        seen = self._past(self.runs).groupBy("bucket").applyInArrow(merge_join, NOTES).checkpoint()
-
-        def chosen(packed: pa.Table, notes: pa.Table) -> Block:
-            block = Block(packed["pack"], buckets)
-            mine = [r for r in notes.to_pylist() if r["kind"] == 1]
-            block.choose(*(np.frombuffer(b"".join(r[c] for r in mine), np.uint64) for c in ("first", "second")))
-            return block
+            block = Block(packed["pack"])
+            return blocks.mark_rows(packed["blk"][0].as_py(), block.marks, block.variety())
+
+        run = self._write(packs.groupBy("blk").applyInArrow(send_marks, blocks.MARKS), "run", "mark", parallelism(self.spark))
+        new = self._run(run)
+        marks, fresh = new, new.select("mark").distinct().hint("merge")
+        for older in self.runs:
+            marks = marks.unionByName(self._run(older).join(fresh, "mark", "left_semi"))
+        # Only what the batch has needs an answer.
+        seen = blocks.met(marks, HOT, f"at >= {first}").checkpoint()
 
         def send_contexts(packed: pa.Table, notes: pa.Table) -> pa.Table:
             blk = packed["blk"][0].as_py() if packed.num_rows else 0
             if not packed.num_rows or blk < first and not notes.num_rows:
                 return _table(_CONTEXTS, [])
-            block, coder, rows = chosen(packed, notes), zstandard.ZstdCompressor(level=3), []
-            for b in np.unique(block.entry_bucket):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _CONTEXT) as out:
-                    out.write_table(block.contexts.take(np.flatnonzero(block.entry_bucket == b)).combine_chunks())
-                rows.append((int(b), blk, coder.compress(sink.getvalue())))
-            return _table(_CONTEXTS, rows)
+            block = Block(packed["pack"])
+            block.choose(notes, blk >= first)
+            return block.rows(blk)
 
         def verify_contexts(sent: pa.Table) -> pa.Table:
-            coder, out, at = zstandard.ZstdDecompressor(), [], 0
-            parts = [pa.ipc.open_stream(coder.decompress(x)).read_all() for x in sent["pack"].to_pylist()]
-            masks, code = verify(pa.concat_tables(parts)), zstandard.ZstdCompressor(level=1)
-            for blk, part in zip(sent["blk"].to_pylist(), parts, strict=True):
-                if blk >= first:
-                    out.append((blk, 2, sent["bucket"][0].as_py(), code.compress(masks[at : at + len(part)].tobytes()), None))
-                at += len(part)
-            return _table(_NOTES, out)
+            masks, blk = verify(sent), sent["blk"].to_numpy()
+            some = (masks > 0) & (blk >= first)
+            return blocks.note_rows(blk[some], blocks.MASK, sent["entry"].to_numpy()[some], masks[some].view(np.int64))
 
         def cogrouped(side: DataFrame, notes: DataFrame, step, schema: str) -> DataFrame:
             return side.groupBy("blk").cogroup(notes.groupBy("blk")).applyInArrow(step, schema)
 
-        contexts = cogrouped(packs, seen.where(F.col("blk") >= first), send_contexts, CONTEXTS)
-        for past, (low, high) in zip(self.packs, self.ranges, strict=True):
-            contexts = contexts.unionByName(cogrouped(past, seen.where(F.col("blk").between(low, high)), send_contexts, CONTEXTS))
-        masks = contexts.groupBy("bucket").applyInArrow(verify_contexts, NOTES).checkpoint()
+        own = seen.where(F.col("blk") >= first)
+        contexts = cogrouped(packs, own, send_contexts, CONTEXTS)
+        for past in self.batches:
+            contexts = contexts.unionByName(cogrouped(self._texts(past), seen.where(F.col("blk").between(past["first"], past["last"])), send_contexts, CONTEXTS))
+        masks = blocks.bucketed(contexts, seen, WINDOW - GRAM + 1).groupBy("bucket").applyInArrow(verify_contexts, blocks.NOTES).checkpoint()
 
         def remove(packed: pa.Table, notes: pa.Table) -> pa.Table:
             if not packed.num_rows:
                 return _table(_RESULT, [])
-            block, coder = chosen(packed, notes), zstandard.ZstdDecompressor()
-            got = {r["bucket"]: np.frombuffer(coder.decompress(r["first"]), np.uint64) for r in notes.to_pylist() if r["kind"] == 2}
-            gone = blocks.covered(block.starts(got), WINDOW, len(block.codes))
+            block = Block(packed["pack"])
+            block.choose(notes, True)
+            gone = blocks.covered(block.starts(notes), WINDOW, len(block.codes))
             rows = []
             for i, doc in enumerate(block.all_ids.tolist()):
                 out = gone[block.offsets[i] : block.offsets[i + 1]]
@@ -270,9 +273,11 @@ class FingerprintIndex:
                 rows.append((doc, len(out), int(out.sum()), hashlib.sha256(text).hexdigest()))
             return _table(_RESULT, rows)
 
-        result = blocks.with_ids(cogrouped(packs, seen.where(F.col("blk") >= first).unionByName(masks), remove, RESULT))
-        self.packs.append(packs)
-        self.ranges.append((first, self.blocks - 1))
+        result = blocks.with_ids(cogrouped(packs, own.unionByName(masks), remove, RESULT))
+        self.batches.append(batch)
+        self.runs.append(run)
+        self.blocks += count
+        self._commit()
         if len(self.runs) > MAX_RUNS:
             self.compact()
         return result
