@@ -13,7 +13,7 @@ document only is itself unique to it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,29 +55,25 @@ def deal(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
     return settled(packs_of(docs, count, first), "blk")
 
 
-def packs_of(docs: DataFrame, count: int, first: int = 0) -> DataFrame:
-    """(blk, pack) of docs(doc_id, text), several packs a block."""
+def packs_of(docs: DataFrame, count: int, first: int = 0, change: Callable[[str], str] | None = None) -> DataFrame:
+    """(blk, pack) of docs(doc_id, text), several packs a block; the texts as `change` makes them."""
     small_batches(docs.sparkSession)
     rows = docs.select(id_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), block_of(count, first).alias("blk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        coder = zstandard.ZstdCompressor(level=3)
 
         def packed() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).sort_by([("blk", "ascending"), ("doc_id", "ascending")])
             blk = rows["blk"].to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(blk[1:] != blk[:-1]) + 1, [len(blk)]))
-            packs = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, TEXTS) as out:
-                    out.write_table(rows.slice(a, b - a).select(["doc_id", "text"]).combine_chunks().cast(TEXTS))
-                packs.append(coder.compress(sink.getvalue()))
+            packs = [pack(rows.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(blk[edges[:-1]], pa.int32()), pa.array(packs, pa.binary())], names=["blk", "pack"])
 
         for batch in batches:
             if batch.num_rows:
+                if change:
+                    batch = batch.set_column(1, "text", pa.array([change(t) for t in batch.column(1).to_pylist()], pa.string()))
                 held.append(batch)
                 size += batch.nbytes
             if size >= PACK_BYTES:
@@ -148,6 +144,18 @@ def unpack(packs: pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables(parts or [TEXTS.empty_table()]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
+def merged(packs: pa.ChunkedArray) -> bytes:
+    """The documents of a block as one pack."""
+    return pack(unpack(packs))
+
+
+def pack(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TEXTS) as out:
+        out.write_table(rows.select(["doc_id", "text"]).combine_chunks().cast(TEXTS))
+    return zstandard.compress(sink.getvalue(), 3)
+
+
 @dataclass
 class Anchors:
     """place: first symbol of the anchor's k-gram; low .. high: the windows that it is the anchor of,

@@ -27,14 +27,17 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import BASE, U64, can_checkpoint, drop_folder, grams, mix, parallelism, powers, shared_folder, word_hashes, words
+from .common import BASE, U64, can_checkpoint, drop_folder, mix, parallelism, powers, shared_folder, word_hashes, words
 from .suffix import _table
 
 WINDOW, GRAM = 50, 8
@@ -43,7 +46,7 @@ HOT = 4000
 #: Runs that may lie side by side before they are compacted, and rows of a bucket of a run.
 MAX_RUNS, BUCKET_ROWS = 4, 4_000_000
 
-PACKS = "blk int, pack binary"
+TEXTS = "blk int, pack binary, anchors binary"
 CONTEXTS = "key long, blk int, entry long, doc long, before int, windows int, text binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _CONTEXTS = {"key": pa.int64(), "blk": pa.int32(), "entry": pa.int64(), "doc": pa.int64(), "before": pa.int32(), "windows": pa.int32(), "text": pa.binary()}
@@ -67,13 +70,18 @@ def load_bucketed(spark: SparkSession, path: str, schema: str, key: str, count:
     return out
 
 
-class Block:
-    """One block's documents as words joined by one space, their anchors, and the contexts it sends."""
+def spaced(text: str) -> str:
+    """The words of a text, joined by one space."""
+    return b" ".join(text.encode().split()).decode()
+
+
+class Texts:
+    """A block's documents as words joined by one space."""
 
     def __init__(self, packs: pa.ChunkedArray):
         rows = blocks.unpack(packs)
         self.all_ids = rows["doc_id"].to_numpy()
-        self.texts = [b" ".join(t.encode().split()) for t in rows["text"].to_pylist()]
+        self.texts = [t.encode() for t in rows["text"].to_pylist()]
         self.raw = np.frombuffer(b"\n".join(self.texts), np.uint8)
         sizes = np.array([len(t) + 1 for t in self.texts], np.int64)
         offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -81,9 +89,15 @@ class Block:
         self.start, self.end, doc = words(self.raw, offsets)
         self.counts = np.bincount(doc, minlength=len(self.texts)) if len(self.texts) else np.zeros(0, np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
+
+
+class Sampled(Texts):
+    """A block's texts with the hashes of their words and the anchors of their windows."""
+
+    def __init__(self, packs: pa.ChunkedArray):
+        super().__init__(packs)
         self.codes = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(self.raw, self.start[a : a + (1 << 18)], self.end[a : a + (1 << 18)]) for a in range(0, len(self.start), 1 << 18))])
         self.anchors = blocks.sampled_in_slices(lambda a, b: self.codes[a:b], self.offsets, GRAM, WINDOW, 1 << 18)
-        self.ids = self.all_ids[self.anchors.doc]
         self.marks = np.unique(self.anchors.mark)
 
     def variety(self) -> np.ndarray:
@@ -96,6 +110,33 @@ class Block:
         _, first = np.unique(mix(context) + a.mark, return_index=True)
         return np.maximum(np.bincount(np.searchsorted(self.marks, a.mark[first]), minlength=len(self.marks)), 1)
 
+    def packed(self) -> bytes:
+        """marks with their variety, and the anchors."""
+        a = self.anchors
+        parts = (self.marks, self.variety().astype(np.int32), a.mark, a.low.astype(np.int32), (a.high - a.low).astype(np.uint8), (a.place - a.low).astype(np.uint8), a.doc.astype(np.int32))
+        return np.array([len(self.marks), len(a.mark)], np.int64).tobytes() + zstandard.compress(b"".join(x.tobytes() for x in parts), 3)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, blocks.Anchors]:
+    """What Sampled.packed() holds."""
+    n, m = np.frombuffer(raw[:16], np.int64).tolist()
+    body, at, parts = zstandard.decompress(raw[16:]), 0, []
+    for kind, count in ((np.uint64, n), (np.int32, n), (np.uint64, m), (np.int32, m), (np.uint8, m), (np.uint8, m), (np.int32, m)):
+        parts.append(np.frombuffer(body, kind, count, at))
+        at += parts[-1].nbytes
+    marks, variety, mark, *rest = parts
+    low, more, before, doc = (x.astype(np.int64) for x in rest)
+    return marks, variety, blocks.Anchors(low + before, low, low + more, mark, doc)
+
+
+class Block(Texts):
+    """One block of the index, and the contexts it sends."""
+
+    def __init__(self, packs: pa.ChunkedArray, anchors: bytes):
+        super().__init__(packs)
+        *_, self.anchors = unpacked(anchors)
+        self.ids = self.all_ids[self.anchors.doc]
+
     def choose(self, notes: pa.Table, own: bool) -> None:
         """Keep the anchors found elsewhere or, in a block of the batch (own), in two documents here, and lay out
         their contexts, each distinct one once."""
@@ -114,10 +155,10 @@ class Block:
         self.windows = np.where(single, 1, found.high[of] - found.low[of] + 1)
         before = np.where(single, 0, found.place[of] - self.low)
         key = found.mark[of]
-        if single.any():
-            key[single] = mix(grams(self.codes, WINDOW))[self.low[single]]
         raw = self.raw.tobytes()
         texts = [raw[a:b] for a, b in zip(self.start[self.low].tolist(), self.end[self.low + self.windows + WINDOW - 2].tolist(), strict=True)]
+        for i in np.flatnonzero(single).tolist():
+            key[i] = xxhash.xxh64_intdigest(texts[i])
         number: dict[tuple, int] = {}
         self.entry = np.array([number.setdefault(x, len(number)) for x in zip(key.tolist(), before.tolist(), self.windows.tolist(), texts, strict=True)], np.int64)
         self.least = np.full(len(number), np.iinfo(np.int64).max)
@@ -205,7 +246,7 @@ class FingerprintIndex:
         return load_bucketed(self.spark, f"{self.path}/{run['folder']}", blocks.MARKS, "mark", run["buckets"])
 
     def _texts(self, batch: dict) -> DataFrame:
-        return load_bucketed(self.spark, f"{self.path}/{batch['folder']}", PACKS, "blk", batch["buckets"])
+        return load_bucketed(self.spark, f"{self.path}/{batch['folder']}", TEXTS, "blk", batch["buckets"])
 
     def compact(self) -> None:
         """Merge all runs into one and remove them."""
@@ -221,14 +262,22 @@ class FingerprintIndex:
         """doc_id, n_words, n_removed and the digest of the kept words, for docs(doc_id, text); the batch
         then belongs to the past."""
         first, count = self.blocks, blocks.block_count(docs)
-        batch = self._write(blocks.packs_of(docs, count, first), "texts", "blk", parallelism(self.spark)) | {"first": first, "last": first + count - 1}
+
+        def sample(packed: pa.Table) -> pa.Table:
+            """A block as one row: its texts in one pack, and its anchors."""
+            return pa.table([packed["blk"].slice(0, 1), pa.array([blocks.merged(packed["pack"])], pa.binary()), pa.array([Sampled(packed["pack"]).packed()], pa.binary())], names=["blk", "pack", "anchors"])
+
+        dealt = blocks.packs_of(docs, count, first, spaced).repartition(parallelism(self.spark), "blk")
+        batch = self._write(dealt.groupBy("blk").applyInArrow(sample, TEXTS), "texts", "blk", parallelism(self.spark)) | {"first": first, "last": first + count - 1}
         packs = self._texts(batch)
 
-        def send_marks(packed: pa.Table) -> pa.Table:
-            block = Block(packed["pack"])
-            return blocks.mark_rows(packed["blk"][0].as_py(), block.marks, block.variety())
+        def send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for blk, anchors in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    marks, variety, _ = unpacked(anchors)
+                    yield from blocks.mark_rows(blk, marks, variety).to_batches()
 
-        run = self._write(packs.groupBy("blk").applyInArrow(send_marks, blocks.MARKS), "run", "mark", parallelism(self.spark))
+        run = self._write(packs.select("blk", "anchors").mapInArrow(send_marks, blocks.MARKS), "run", "mark", parallelism(self.spark))
         new = self._run(run)
         marks, fresh = new, new.select("mark").distinct().hint("merge")
         for older in self.runs:
@@ -240,7 +289,7 @@ class FingerprintIndex:
             blk = packed["blk"][0].as_py() if packed.num_rows else 0
             if not packed.num_rows or blk < first and not notes.num_rows:
                 return _table(_CONTEXTS, [])
-            block = Block(packed["pack"])
+            block = Block(packed["pack"], packed["anchors"][0].as_py())
             block.choose(notes, blk >= first)
             return block.rows(blk)
 
@@ -261,9 +310,9 @@ class FingerprintIndex:
         def remove(packed: pa.Table, notes: pa.Table) -> pa.Table:
             if not packed.num_rows:
                 return _table(_RESULT, [])
-            block = Block(packed["pack"])
+            block = Block(packed["pack"], packed["anchors"][0].as_py())
             block.choose(notes, True)
-            gone = blocks.covered(block.starts(notes), WINDOW, len(block.codes))
+            gone = blocks.covered(block.starts(notes), WINDOW, len(block.start))
             rows = []
             for i, doc in enumerate(block.all_ids.tolist()):
                 out = gone[block.offsets[i] : block.offsets[i + 1]]
