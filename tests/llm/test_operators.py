@@ -309,7 +309,7 @@ def test_pieces_equal_the_library(spark, docs, none):
 def test_warc(spark, tmp_path):
     import base64
 
-    rows = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 5000), (0, "u", "only"), (9, "u", "<p>é</p>"), (9, "u", "<p>é</p>")]
+    rows = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 5000), (0, "u", "only"), (7, "u", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n"), (8, "u", "\r\n"), (9, "u", "<p>é</p>"), (9, "u", "<p>é</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = str(tmp_path / "archive")
     warc.write_archive(pages, path)
@@ -327,7 +327,12 @@ def test_warc(spark, tmp_path):
     assert spark.read.parquet(f"{path}/payloads").count() == len(first)
     warc.export_warc(archive, str(tmp_path / "warc"))
     text = b"".join(__import__("gzip").decompress(p.read_bytes()) for p in sorted((tmp_path / "warc").glob("*.gz")))
-    assert text.count(b"WARC/1.1\r\n") == len(rows) and b"x" * 5000 + b"\r\n\r\n" in text
+    assert text.count(b"\r\nWARC-Record-ID: ") == len(rows) and b"x" * 5000 + b"\r\n\r\n" in text
+    files = warc.import_warc(spark, str(tmp_path / "warc")).cache()
+    again = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["digest_ok"]) for r in warc.described_files(files).collect())
+    assert again == sorted(want)
+    stored = {(r["page_id"], r["header"]): bytes(r["payload"]) for r in archive.collect()}
+    assert all(bytes(r["payload"]) == (b"" if "WARC-Type: revisit" in r["header"] else stored[r["page_id"], r["header"]]) for r in files.collect())
     empty = str(tmp_path / "none")
     warc.write_archive(pages.limit(0), empty)
     assert warc.described(warc.read_archive(spark, empty)).count() == 0

@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled together inside one task, in bytes. One longer text is handled alone.
@@ -94,6 +94,13 @@ def slices(batch, *columns: str, limit: int = SLICE_BYTES):
         yield rows.slice(start)
 
 
+def piece_of(text: Column, hash_: Column, chars: int) -> Column:
+    """The text, or `chars` characters from a place that a hash decides where it is longer: fits on samples read long texts
+    too, each with a bounded piece from anywhere."""
+    start = F.pmod(hash_, F.greatest(F.length(text) - chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    return text.substr(start, F.lit(chars))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads 64-bit values evenly."""
     with np.errstate(over="ignore"):

@@ -6,13 +6,14 @@ the two smallest marks the answer as rejected (the best guess stays in lang_pred
 
 Cases: a null text, or one without a letter, is `und`; ties go to the language with most training
 rows, then by name; whole texts are encoded, in pieces; repeated rows are judged one by one;
-without training rows every text is `und`; an empty table gives an empty result; further columns
+a row without an id is neither held out nor learned from; without training rows every text is `und`; an empty table gives an empty result; further columns
 are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import piece_of, small_batches
 
 #: Dictionary bytes of a language, training rows of a language, characters taken of one row: the
 #: bounds of the sample that the dictionaries are made of.
@@ -30,7 +31,9 @@ PIECE, MARGIN = 16_384, 0.01
 LEVEL = 9
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't decimal digits, such as fractions, are word characters, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str | None) -> str:
@@ -53,8 +56,7 @@ def dictionaries(docs: DataFrame) -> list[tuple[str, bytes]]:
     sample = sample.dropDuplicates(["lang", "hash"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= TRAIN_ROWS)
     got: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
     # A piece from anywhere in the whole text, by a hash of its own.
-    start = F.pmod(F.xxhash64("hash", F.lit(13)), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)).cast("long")).cast("int") + 1
-    for r in sample.select("hash", "lang", F.col("text").substr(start, F.lit(TRAIN_CHARS)).alias("text")).collect():
+    for r in sample.select("hash", "lang", piece_of(F.col("text"), F.xxhash64("hash", F.lit(13)), TRAIN_CHARS).alias("text")).collect():
         got[r["lang"]].append((r["hash"], letters(r["text"])))
     order = sorted(counts, key=lambda k: (-counts[k], k))
     return [(k, filled(list(dict.fromkeys(t for _, t in sorted(got[k]) if t)))) for k in order]
@@ -110,7 +112,7 @@ def identify(docs: DataFrame, languages: list[tuple[str, bytes]], margin: float
                 preds.append(names[best]), scores.append(1 - sizes[best] / second)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array([s < margin for s in scores])], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id")) == 2).alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, SCHEMA)
 
 

@@ -15,7 +15,7 @@ on only where a partner is possible at all: those who share a rare shingle are p
 pairs the common shingles bound what two texts can share. The bound is exact: it spares pairs and loses none.
 
 Cases: null texts and texts without words are alone, each its own class; a text of 1 to 4 words is one shingle of
-all its words; rows that repeat an id are one document, linked by any of its texts; rows
+all its words; very long texts are compared whole; rows that repeat an id are one document, linked by any of its texts; rows
 without an id get no class; ties go to the smallest id; an empty table gives an empty result; further columns
 are not read (or pass through, where rows are filtered).
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, can_checkpoint, flat, grams, mix, shared_folder, slices, small_batches, word_hashes, words
+from .common import U64, can_checkpoint, drop_folder, flat, grams, mix, shared_folder, slices, small_batches, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS coordinates: a pair at 0.8 shares a bucket with probability 1 - (1 - 0.8^4)^20 > 0.99997.
@@ -213,7 +213,7 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "left"):
+            for rows in slices(batch, "left", "right"):
                 good = similarity(rows["left"].combine_chunks(), rows["right"].combine_chunks()) >= least - 1e-12
                 yield pa.RecordBatch.from_arrays([rows["a"].combine_chunks().filter(pa.array(good)), rows["b"].combine_chunks().filter(pa.array(good))], names=["a", "b"])
 
@@ -272,6 +272,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more = mates.join(tried, ["a", "b"], "left_anti").checkpoint()
     if not more.isEmpty():
         classes = components(links.unionByName(linked(more, rows, least))).checkpoint()
+    drop_folder(spark, path)
     out = digests.select("doc_id").join(copies, "doc_id", "left").withColumn("node", F.coalesce("first_id", "doc_id"))
     return out.join(classes, "node", "left").select("doc_id", F.coalesce("class", "node").alias("class_id"))
 

@@ -10,7 +10,8 @@ not what its merges give; there a prefix keeps the one last piece whose pairing
 before it survives merging, which gives the merges' own result. Unknown characters become
 byte pieces where the model has them.
 
-Cases: a null text stays null, an empty text has no pieces; U+2581 in a text reads as a space, as in
+Cases: a null text stays null, an empty text has no pieces; a very long text is encoded whole, in a slice of its own; ids aren't read; of
+paths with equal scores the one with the shorter last piece counts; U+2581 in a text reads as a space, as in
 the model's own normalisation; repeated rows are encoded one by one; an empty table gives an empty
 result; further columns pass through, those named like results are replaced.
 """

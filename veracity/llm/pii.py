@@ -8,7 +8,8 @@ of a bounded sample; loopy sum-product messages spread the labels over each docu
 tokens labelled with confidence that no base span touches become further spans.
 
 Cases: a null or empty text has no spans; a text without candidates costs one scan; whole texts
-are read; repeated rows are judged one by one; an empty table gives an empty result; when text is
+are read, in time in proportion to their length; an id may be missing; of labels that are equally likely the first counts, and base spans of
+one start are in the order of KINDS; repeated rows are judged one by one; an empty table gives an empty result; when text is
 replaced, further columns pass through.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import piece_of, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -37,7 +38,7 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Rows of the training sample, and bytes of one of its texts; message rounds; confidence of a further span.
+#: Rows of the training sample, and characters that one of them gives; message rounds; confidence of a further span.
 TRAIN_ROWS, TRAIN_TEXT, ROUNDS, SURE = 3000, 20_000, 8, 0.8
 
 _WORD = re.compile(r"\S+")
@@ -110,7 +111,7 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 def shape(word: str) -> str:
     """Letters as a, digits as 0; runs of letters shortened."""
-    return re.sub("a+", "a", re.sub("[0-9]", "0", re.sub(r"[^\W\d_]", "a", word)))[:40]
+    return re.sub("a+", "a", re.sub("[0-9]", "0", re.sub(r"[^\W\d_]", "a", word)))
 
 
 FEATURES = 22
@@ -126,7 +127,7 @@ def describe(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[
         near = [i > 0 and spans[i - 1][1] + 2 >= spans[i][0], i + 1 < len(spans) and spans[i][1] + 2 >= spans[i + 1][0]]
         full = PATTERNS["card"].fullmatch(w) is not None
         x[i] = [
-            1, "@" in w, bool(PATTERNS["email"].search(w)), w.count(".") == 3, bool(PATTERNS["ip"].fullmatch(w)), bool(PATTERNS["ip"].fullmatch(w)) and holds("ip", w),
+            1, "@" in w, bool(emails(w)), w.count(".") == 3, bool(PATTERNS["ip"].fullmatch(w)), bool(PATTERNS["ip"].fullmatch(w)) and holds("ip", w),
             digits == len(w), 14 <= digits <= 19, full and 14 <= digits <= 19, full and holds("card", w), w.startswith("+"), w.startswith("("), w.endswith(")"), bool(re.fullmatch(r"[0-9]{3}-[0-9]{4}", w)),
             "a" in s, digits <= 3, 4 <= digits <= 9, 10 <= digits <= 13, digits > 19, *near, "-" in w,
         ]
@@ -253,11 +254,12 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in order)
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> Field:
-    """Fit on a sample of at most `rows`, by a hash of id and text, of the rows that hold candidates."""
-    some = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("hash")).where((F.octet_length("text") <= text_bytes) & F.col("text").rlike("[0-9@]"))
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_TEXT) -> Field:
+    """Fit on a sample of at most `rows`, by a hash of id and text, of the rows that hold candidates; a longer text
+    gives `chars` characters from anywhere."""
+    some = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("hash")).where(F.col("text").rlike("[0-9@]"))
     share = rows / max(rows, some.count())
-    chosen = some.where(F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("hash").limit(rows)
+    chosen = some.where(F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("hash").limit(rows).select("doc_id", piece_of(F.col("text"), F.xxhash64("hash", F.lit(6)), chars).alias("text"))
     return Field.fit([r["text"] for r in sorted(chosen.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))])
 
 

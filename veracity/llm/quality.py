@@ -6,7 +6,7 @@ documents, shrunk toward the level above (path to host, host to all) with prior
 estimated from the spread between hosts and between paths (method of moments). A document's
 posterior adds its evidence to the log-odds of its path; below `threshold` it is rejected.
 
-Cases: a null text is empty; an empty text carries no evidence (it gets its path's rate); a null
+Cases: an id may be missing (such rows teach nothing); a very long text is read whole, in a slice of its own; a null text is empty; an empty text carries no evidence (it gets its path's rate); a null
 host or path is a value of its own; ties at the threshold are kept; repeated rows are judged one
 by one and each counts; without labels of both classes all rows carry no evidence; an empty table
 gives an empty result; further columns pass through, those named like results are replaced.

@@ -53,9 +53,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the archive, rebuild the records, write them as WARC files, and read these back."""
     path = shared_folder(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.described(warc.read_archive(spark, path)).drop("digest_ok")
+    warc.export_warc(warc.read_archive(spark, path), f"{path}/warc")
+    return warc.described_files(warc.import_warc(spark, f"{path}/warc")).drop("digest_ok")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op6_near_dedup, op7_quality_rules, op8_substring_dedup, op9_pieces, op10_warc)}

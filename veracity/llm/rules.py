@@ -3,8 +3,8 @@
 Exact surface counts, and a hashed word and character n-gram logistic regression trained on
 labelled rows, probability-calibrated (Platt), scored in Arrow batches against a fixed threshold.
 
-Cases: a null or empty text has no words and fails the base rules; repeated rows are judged one by
-one; without usable labels (none, or one class) the verdict of the model is to keep; an empty
+Cases: a null or empty text has no words and fails the base rules; whole texts are scored, a very long one in a
+slice of its own; an id may be missing; a probability equal to the threshold keeps; repeated rows are judged one by one; without usable labels (none, or one class) the verdict of the model is to keep; an empty
 table gives an empty result; further columns of the input are not read.
 """
 
@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, IS_SPACE, U64, flat, grams, mix, per_text, repeated, slices, small_batches, word_hashes, words
+from .common import BASE, BYTE_CODE, IS_SPACE, U64, flat, grams, mix, per_text, piece_of, repeated, slices, small_batches, word_hashes, words
 
 #: Hash buckets of the model, half for words and half for character n-grams.
 BUCKETS = 1 << 16
 #: Character n-gram length, in bytes.
 CHARS = 4
-#: Bounds of the training sample: rows, and bytes of one text.
+#: Bounds of the training sample: rows, and characters that one of them gives.
 TRAIN_ROWS, TRAIN_TEXT = 2500, 20_000
 #: Rows are kept from this calibrated probability of good quality on.
 THRESHOLD = 0.5
@@ -44,16 +44,19 @@ class Model:
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray):
-    """Hashed n-grams of every text: (text number, bucket) of the words and of the character
+    """Hashed n-grams of every text: (text number, bucket) of the words and pairs of words, and of the character
     n-grams that lie within one text."""
     half = BUCKETS // 2
     hashes = word_hashes(raw, start, end)
-    of_words = (hashes % U64(half)).astype(np.int32)
+    same = doc[1:] == doc[:-1]
+    with np.errstate(over="ignore"):
+        pairs = mix(hashes[:-1][same] * BASE + hashes[1:][same])
+    of_words = (np.concatenate([hashes, pairs]) % U64(half)).astype(np.int32)
     codes = grams(BYTE_CODE[raw], CHARS)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     within = text[: len(codes)] == text[CHARS - 1 :] if len(codes) else np.zeros(0, bool)
     of_chars = (mix(codes[within]) % U64(half)).astype(np.int32) + half
-    return (doc, of_words), (text[: len(codes)][within], of_chars), hashes
+    return (np.concatenate([doc, doc[1:][same]]), of_words), (text[: len(codes)][within], of_chars), hashes
 
 
 def mean_weight(weights: np.ndarray, where, n: int) -> np.ndarray:
@@ -107,12 +110,13 @@ def fit(texts: list[str | None], good: np.ndarray, steps: int = 120, l2: float =
     return Model(w, a, a * bias + b)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT) -> Model:
-    """Fit on a bounded sample of the labelled rows, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_TEXT) -> Model:
+    """Fit on a bounded sample of the labelled rows, chosen by a hash of the id; a longer text gives `chars` characters
+    from anywhere."""
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = rows / max(rows, marked.count())
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    text = docs.select("doc_id", "text").where(F.octet_length("text") <= text_bytes)
+    text = docs.select("doc_id", piece_of(F.col("text"), F.xxhash64("doc_id", "text", F.lit(9)), chars).alias("text"))
     got = chosen.join(text, "doc_id").select("doc_id", "quality", "text").toPandas().sort_values(["doc_id", "text"])
     return fit(got["text"].tolist(), (got["quality"].to_numpy() > 0))
 

@@ -1,9 +1,10 @@
 """Operator 10: content-addressed WARC archive.
 
 Payload bytes are stored once under a verified strong digest; the exact header block of each
-record is kept apart; the original records come back through a join of the two.
+record is kept apart; the original records come back through a join of the two, and go to WARC files and back: a
+revisit has no bytes there, and what it says of its payload is held against the response it refers to.
 
-Cases: a null payload is empty; equal payloads of at least `least` bytes become one response
+Cases: a very long payload is one record like others, and may hold line ends or what looks like a record; a null payload is empty; equal payloads of at least `least` bytes become one response
 (the smallest id) and revisits; shorter ones are all responses; repeated rows of one id are
 records of their own that share an id (all of the responding id's rows are responses); rows without
 an id come last: they are revisits of the smallest id where a row with one holds the payload, and else
@@ -13,9 +14,14 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import SLICE_BYTES, can_checkpoint
+
 #: The base 32 alphabet of RFC 4648 (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -37,9 +43,11 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     bytes, type and the page it refers to. Payloads themselves don't move."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"), F.concat_ws("-", F.sha2(payload, 256), F.octet_length(payload)).alias("key"))
-    first = rows.groupBy("key").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(first, "key")
-    revisit = (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") > F.col("first_id"), F.col("first_id").isNotNull())
+    # Only keys of several records; checkpointed, so that Spark can split a payload that many pages have in the join.
+    can_checkpoint(pages.sparkSession)
+    first = rows.groupBy("key").agg(F.min("page_id").alias("least_id"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    rows = rows.join(first, "key", "left").withColumn("first_id", F.when(F.col("n") > 1, F.col("least_id")).otherwise(F.col("page_id")))
+    revisit = (F.coalesce("n", F.lit(1)) > 1) & (F.col("payload_bytes") >= least) & F.coalesce(F.col("page_id") > F.col("first_id"), F.col("first_id").isNotNull())
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:page:none")), r"[\x00-\x20\x7F]", "%20")
     identity = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
@@ -81,23 +89,73 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return heads.join(stored, "key", "left").select("page_id", "header", F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is missing: "), F.col("key"))).cast("binary")).alias("payload"))
 
 
-def export_warc(archive: DataFrame, path: str) -> None:
-    """The records as WARC files (payloads are UTF-8, so Spark's text sink writes exact bytes)."""
+def export_warc(archive: DataFrame, path: str, records_per_file: int = 20_000) -> None:
+    """The records as gzip WARC files (payloads are UTF-8, so Spark's text sink writes exact bytes)."""
     revisit = F.col("header").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
     # The sink's line end is the second of the two that close a record.
-    archive.select(F.concat("header", body, F.lit(CRLF)).alias("value")).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").text(path)
-
-
-def described(archive: DataFrame) -> DataFrame:
-    """What the rebuilt records say of themselves, with bytes and digest of the full payload."""
+    archive.select(F.concat("header", body, F.lit(CRLF)).alias("value")).write.mode("overwrite").option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def import_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, header, payload) of the records in gzip WARC files that export_warc() wrote; a revisit's payload is empty. A record is
+    what its Content-Length says. Spark reads such a file in one task, from its first line to its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, body, left, skip, out, size = [], [], -1, False, [], 0
+        for batch in batches:
+            for line in batch.column(0).cast(pa.binary()).to_pylist():
+                if skip:  # the line end that closes a record
+                    skip = False
+                elif left >= 0:
+                    body.append(line)
+                    left -= len(line) + (2 if len(body) > 1 else 0)
+                    if left <= 0:
+                        if left:
+                            raise ValueError("a record is longer than its Content-Length")
+                        out.append((b"\r\n".join([*head, b"", b""]).decode(), b"\r\n".join(body)))
+                        size += len(out[-1][1])
+                        head, body, left, skip = [], [], -1, True
+                elif line:
+                    head.append(line)
+                else:
+                    left = next(int(h[15:]) for h in head if h.startswith(b"Content-Length:"))
+            if size > SLICE_BYTES or len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out]), pa.array([b for _, b in out], pa.binary())], names=["header", "payload"])
+                out, size = [], 0
+        if head or left >= 0:
+            raise ValueError("a record is cut short")
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out]), pa.array([b for _, b in out], pa.binary())], names=["header", "payload"])
+
+    lines = spark.read.option("lineSep", CRLF).text(path)
+    found = F.regexp_extract("header", r"\r\nWARC-Record-ID: <urn:page:(-?\d+)>\r\n", 1)
+    return lines.mapInArrow(run, "header string, payload binary").select(F.when(found != "", found.cast("long")).alias("page_id"), "header", "payload")
+
+
+def described_files(records: DataFrame) -> DataFrame:
+    """described() of import_warc(): bytes and digest of a revisit are those of the response it refers to."""
+    own = described(records)
+    answers = own.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
+    revisit = F.col("record_type") == "revisit"
+    told = F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([^\r]*)\r\n", 1)
+    named = described(records, told).where(revisit).drop("payload_bytes", "digest_ok")
+    can_checkpoint(records.sparkSession)
+    found = named.join(answers.checkpoint(), (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    found = found.select("page_id", F.col("_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.col("_id").isNotNull().alias("digest_ok"))
+    return own.where(~revisit).unionByName(found)
+
+
+def described(archive: DataFrame, digest: Column | None = None) -> DataFrame:
+    """What the rebuilt records say of themselves, with bytes and digest (if none is given) of the full payload."""
+    digest = base32_sha1(F.col("payload")) if digest is None else digest
     field = lambda name: F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
     refers = F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n", 1)
     return archive.select(
         "page_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        digest.alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
-        (F.concat(F.lit("sha1:"), base32_sha1(F.col("payload"))) == field("WARC-Payload-Digest")).alias("digest_ok"),
+        (F.concat(F.lit("sha1:"), digest) == field("WARC-Payload-Digest")).alias("digest_ok"),
     )
