@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm import decontaminate, neardup, pieces, pii, quality
-from veracity.llm.common import shared_folder, table
+from veracity.llm.common import drop_folder, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{root}/{i}")
         docs = spark.read.parquet(f"{root}/{i}")
+        if i:
+            drop_folder(spark, f"{root}/{i - 1}")
     return docs
