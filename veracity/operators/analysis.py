@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finite
+from ..session import checkpointed
 from . import calibrate, decisions, metrics
 from .registry import BOOTSTRAP, SEED, signal_registry, target_ladder
 from .signals import available_signals, long_signals, to_uncertainty
@@ -39,9 +40,9 @@ def ranked(evaluations: DataFrame, by: str = "auroc") -> DataFrame:
 
 def evaluate_signals(rows: DataFrame, replicates: int = BOOTSTRAP, seed: int = SEED, mode: str = "multinomial") -> DataFrame:
     """One ranked row a signal: AUROC and AURC with intervals, both calibration errors, Brier score."""
-    oriented = usable(rows).persist()
+    oriented = checkpointed(usable(rows))
     test = oriented.where("split = 'test'")
-    conf = calibrated(oriented).persist()
+    conf = checkpointed(calibrated(oriented))
     span = lambda m: metrics.bootstrap(test, KEYS, replicates=replicates, metric=m, seed=seed, mode=mode).toDF(*KEYS, m, f"{m}_lower", f"{m}_upper")
     ece = lambda s: metrics.calibration_error(metrics.reliability(conf, KEYS, strategy=s), KEYS).toDF(*KEYS, f"ece_{s}", f"mce_{s}")
     out = span("auroc").join(span("aurc"), KEYS, "left")
@@ -81,23 +82,24 @@ def analyse(records: DataFrame, replicates: int = BOOTSTRAP, select_on: str = "t
 
     select_on='dev' ranks signals for the choice on dev rows; gate_tier restricts the cascade's
     gate to one cost tier. The defaults are test and no restriction."""
-    rows = signal_rows(records).persist()
-    evaluations = evaluate_signals(rows, replicates).persist()  # read by all that follows
-    oriented = usable(rows).persist()
+    rows = checkpointed(signal_rows(records))
+    evaluations = checkpointed(evaluate_signals(rows, replicates))  # read by all that follows
+    oriented = checkpointed(usable(rows))
     if select_on == "test":
         choice = evaluations
     else:
         dev = usable(rows, "dev").where("split = 'dev'")
         choice = ranked(metrics.auroc(metrics.rank_table(dev, KEYS), KEYS))
-    best = best_signal(choice)
+    best = checkpointed(best_signal(choice))
     of = lambda b: oriented.join(F.broadcast(b), KEYS)  # noqa: E731  one signal a task
-    chosen = of(best).persist()
+    chosen = checkpointed(of(best))
     dev, test = chosen.where("split = 'dev'"), chosen.where("split = 'test'")
     tasks = [r["task"] for r in rows.select("task").distinct().collect()]
-    points = decisions.selective_answering(dev, test, target_ladder(rows.sparkSession, tasks), KEYS)
-    tiers = decisions.confidence_tiers(dev, test, KEYS)
-    gate = of(best_signal(choice, gate_tier)).where("task = 'gsm8k'").withColumn("greedy_ok", F.col("ok")).withColumn("majority_ok", F.col("majority_correct")).persist()
-    curve = decisions.cascade_curve(gate.where("split = 'dev'"), gate.where("split = 'test'"), KEYS).persist()
+    points = checkpointed(decisions.selective_answering(dev, test, target_ladder(rows.sparkSession, tasks), KEYS))
+    tiers = checkpointed(decisions.confidence_tiers(dev, test, KEYS))
+    gate = of(best_signal(choice, gate_tier)).where("task = 'gsm8k'").withColumn("greedy_ok", F.col("ok")).withColumn("majority_ok", F.col("majority_correct"))
+    gate = checkpointed(gate)
+    curve = checkpointed(decisions.cascade_curve(gate.where("split = 'dev'"), gate.where("split = 'test'"), KEYS))
     selected = decisions.cheapest_point(curve, KEYS).select("task", F.struct("signal", "budget", "threshold", "test_rate", "test_accuracy", "mean_generations", "cost_ratio").alias("selected"))
     listed = lambda df, name, *cols: df.groupBy("task").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))  # noqa: E731  a few rows a task
     curves = listed(curve, "curve", "step", "budget", "threshold", "test_rate", "test_accuracy", "mean_generations", "cost_ratio").join(selected, "task")

@@ -20,6 +20,24 @@ def cost_by_tier(records: DataFrame) -> DataFrame:
     return records.select("task", F.explode(F.array(*costs)).alias("c")).groupBy("task", "c.cost_tier").agg(F.avg("c.s").alias("mean_seconds"))
 
 
+def cost_ratio(costs: DataFrame) -> DataFrame:
+    """task, single_pass, multi_sample and how many times the one the other costs (NaN where a single pass costs nothing)."""
+    of = lambda t: F.max(F.when(F.col("cost_tier") == t, F.col("mean_seconds"))).alias(t)
+    both = costs.groupBy("task").agg(of("single_pass"), of("multi_sample"))
+    return both.withColumn("ratio", F.when(F.col("single_pass") > 0, F.col("multi_sample") / F.col("single_pass")).otherwise(NAN))
+
+
+def same_winner(evaluations: DataFrame) -> DataFrame:
+    """One row: whether one signal leads all tasks, and which leads each. A row a task is read."""
+    first = evaluations.where("rank = 1").groupBy("task").agg(F.min("signal").alias("signal"))
+    named = F.array_sort(F.collect_list(F.concat("task", F.lit(": "), "signal")))
+    return first.agg((F.count_distinct("signal") == 1).alias("same"), F.array_join(named, ", ").alias("winners"))
+
+
+def base_error_rate(rows: DataFrame, by: tuple[str, ...] = ("task",)) -> DataFrame:
+    return rows.groupBy(*by).agg((1 - F.avg(F.col("ok").cast("double"))).alias("base_error_rate"))
+
+
 def results_table(evaluations: DataFrame, n: int = 14) -> DataFrame:
     return evaluations.where(F.col("rank") <= n)
 

@@ -4,12 +4,13 @@ clustering, which depends on their order and sees distinct answers only."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 NAN = float("nan")
 LEAST = 1e-12
 
@@ -69,7 +70,8 @@ def cluster_labels(answers: Column, same: Callable[[Column, Column], Column]) ->
 
 
 def semantic_clusters(samples: DataFrame, same: Callable[[Column, Column], Column], answer: str = "answer", key: str = "prompt_id", index: str = "sample_idx") -> DataFrame:
-    """samples with `label`. Only each prompt's distinct answers, in first-seen order, meet in an array."""
+    """samples with `label`. Only each prompt's distinct answers, in first-seen order, meet in an array: for prompts with a sample
+    plan's dozens of answers. model_clusters() keeps answers as rows, however many a prompt has."""
     first = samples.groupBy(key, answer).agg(F.min(index).alias("first"))
     ordered = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(answer).alias("a")))), lambda x: x["a"]).alias("answers"))
     labels = ordered.select(key, F.explode(F.arrays_zip("answers", cluster_labels(F.col("answers"), same).alias("labels"))).alias("z")).select(key, F.col("z.answers").alias(answer), F.col("z.labels").alias("label"))
@@ -81,10 +83,7 @@ def model_clusters(samples: DataFrame, same: Callable[[Column, Column], Column],
     read the columns in `carry`, which are one value a prompt. Each round makes a prompt's first answer without a label the head of
     the next cluster and decides, in batches of rows, which of its other answers join it; there are as many rounds as the
     most clusters of a prompt. A null answer is a cluster of its own."""
-    spark = samples.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    left = samples.groupBy(key, answer).agg(F.min(index).alias("_first"), *[F.first(c, ignorenulls=True).alias(c) for c in carry]).checkpoint()
+    left = checkpointed(samples.groupBy(key, answer).agg(F.min(index).alias("_first"), *[F.first(c, ignorenulls=True).alias(c) for c in carry]))
     labels, label = None, 0
     while labels is None or not left.isEmpty():
         heads = left.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("_first", answer)).alias("_head"))
@@ -92,7 +91,7 @@ def model_clusters(samples: DataFrame, same: Callable[[Column, Column], Column],
         pairs = pairs.select(*left.columns, F.col(f"_head.{answer}").alias("_rep"), F.struct("_first", answer).eqNullSafe(F.col("_head")).alias("_is_head"))
         asked = ~F.col("_is_head") & F.col(answer).isNotNull() & F.col("_rep").isNotNull()
         decided = pairs.where(asked).withColumn("_same", F.coalesce(same(F.col(answer), F.col("_rep")), F.lit(False)))
-        decided = decided.unionByName(pairs.where(~asked).withColumn("_same", F.col("_is_head"))).checkpoint()
+        decided = checkpointed(decided.unionByName(pairs.where(~asked).withColumn("_same", F.col("_is_head"))))
         joined = decided.where("_same").select(F.col(key).alias("_key"), F.col(answer).alias("_answer"), F.lit(label).alias("label"))
         labels = joined if labels is None else labels.unionByName(joined)
         left, label = decided.where("not _same").select(*left.columns), label + 1

@@ -10,6 +10,7 @@ from ..operators import signals as sg
 from ..operators.registry import BOOTSTRAP, BUDGETS, NEAR_BEST, NUM_SAMPLES, TARGETS, TIER_CUTS, target_ladder
 from ..operators.reports import shown
 from ..operators.split import dev_test_split
+from ..session import checkpointed
 from ..sources import adapters as ad
 from ..sources.records import load_task
 from . import oracle
@@ -23,16 +24,25 @@ REPLICATES = BOOTSTRAP
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dev_test_split(ad.scored_docs(spark, sf_dir).withColumn("example_id", F.col("doc_id")))
+    """The labelled documents as counts, read from the texts once, with their half."""
+    return dev_test_split(checkpointed(ad.scored_docs(spark, sf_dir).withColumn("example_id", F.col("doc_id"))))
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _long(docs: DataFrame, *keep: str) -> DataFrame:
     values = F.create_map(*[x for k, v in ad.doc_values().items() for x in (F.lit(k), v.cast("double"))])
-    return sg.long_signals(_halves(spark, sf_dir).withColumn("signals", values), keep=("task", "example_id", "ok", "pos", "split"))
+    return sg.long_signals(docs.withColumn("signals", values), keep=("task", "example_id", "ok", *keep))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(checkpointed(_halves(spark, sf_dir)), "pos", "split")
+
+
+def _unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(checkpointed(ad.scored_docs(spark, sf_dir).withColumn("example_id", F.col("doc_id"))))
 
 
 def _test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.usable(_rows(spark, sf_dir)).where("split = 'test'")
+    return checkpointed(analysis.usable(_rows(spark, sf_dir)).where("split = 'test'"))
 
 
 def _each(df: DataFrame, keys: list[str], *numbers: str) -> DataFrame:
@@ -40,7 +50,7 @@ def _each(df: DataFrame, keys: list[str], *numbers: str) -> DataFrame:
 
 
 def auroc_by_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analysis.ranked(metrics.auroc(metrics.rank_table(analysis.usable(_rows(spark, sf_dir), "all"), KEYS), KEYS))
+    found = analysis.ranked(metrics.auroc(metrics.rank_table(checkpointed(analysis.usable(_unsplit(spark, sf_dir), "all")), KEYS), KEYS))
     return found.select(*KEYS, shown(F.col("auroc")).alias("auroc"), "n_wrong", "n_right", F.col("rank").cast("long").alias("rank"))
 
 
@@ -50,7 +60,7 @@ def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_rows_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(analysis.usable(_rows(spark, sf_dir), "all"), ["task", "example_id", "signal"], "u")
+    return _each(analysis.usable(_unsplit(spark, sf_dir), "all"), ["task", "example_id", "signal"], "u")
 
 
 def available_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +72,7 @@ def degenerate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def separation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(sg.separation(_rows(spark, sf_dir)), KEYS, "mean_when_correct", "mean_when_wrong", "gap")
+    return _each(sg.separation(_unsplit(spark, sf_dir)), KEYS, "mean_when_correct", "mean_when_wrong", "gap")
 
 
 def dev_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +92,7 @@ def aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.usable(_rows(spark, sf_dir)).persist()  # dev and test are read several times
+    return checkpointed(analysis.usable(_rows(spark, sf_dir)))  # dev and test are read several times
 
 
 def logistic_calibrator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +200,19 @@ def tier_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(reports.tier_verdict(decisions.tier_separation(_tiers(spark, sf_dir), KEYS)), [*KEYS, "separates"], "gap")
 
 
+def base_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk at full coverage that a curve is read against."""
+    return _each(reports.base_error_rate(_halves(spark, sf_dir).where("split = 'test'")), ["task"], "base_error_rate")
+
+
+def cost_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(reports.cost_ratio(reports.cost_by_tier(ad.timings(spark, sf_dir))), ["task"], "single_pass", "multi_sample", "ratio")
+
+
+def same_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.same_winner(_ranked_test(spark, sf_dir))
+
+
 def worked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test rows of one signal, also those without a value (they are Low)."""
     rows = sg.to_uncertainty(_rows(spark, sf_dir).where("signal = 'answer_max_entropy'"))
@@ -200,15 +223,15 @@ def worked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(reports.signal_histogram(_rows(spark, sf_dir), KEYS), [*KEYS, "ok", "bin", "n"], "lower")
+    return _each(reports.signal_histogram(_unsplit(spark, sf_dir), KEYS), [*KEYS, "ok", "bin", "n"], "lower")
 
 
 def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each(reports.group_medians(_rows(spark, sf_dir), KEYS), [*KEYS, "ok"], "median")
+    return _each(reports.group_medians(_unsplit(spark, sf_dir), KEYS), [*KEYS, "ok"], "median")
 
 
 def _cascade_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = dev_test_split(ad.cascade_rows(spark, sf_dir), key="prompt_id").persist()  # both halves are read several times
+    rows = checkpointed(dev_test_split(checkpointed(ad.cascade_rows(spark, sf_dir)), key="prompt_id"))  # both halves are read several times
     return rows.where("split = 'dev'"), rows.where("split = 'test'")
 
 
@@ -218,7 +241,7 @@ def cascade_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chosen(dev: DataFrame, test: DataFrame) -> DataFrame:
-    return decisions.cheapest_point(decisions.cascade_curve(dev, test, ["task"]).persist(), ["task"])
+    return decisions.cheapest_point(checkpointed(decisions.cascade_curve(dev, test, ["task"])), ["task"])
 
 
 def cascade_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +268,7 @@ def seeded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record-shaped rows; every third wrong answer is one that the majority gets right."""
     values = ad.doc_values()
-    return ad.scored_docs(spark, sf_dir).select("task", F.format_string("%s-%08d", "task", "doc_id").alias("example_id"), F.col("ok").alias("greedy_correct"), (F.col("ok") | (F.col("doc_id") % 3 == 0)).alias("majority_correct"), sg.signal_map(values).alias("signals"))
+    return checkpointed(ad.scored_docs(spark, sf_dir)).select("task", F.format_string("%s-%08d", "task", "doc_id").alias("example_id"), F.col("ok").alias("greedy_correct"), (F.col("ok") | (F.col("doc_id") % 3 == 0)).alias("majority_correct"), sg.signal_map(values).alias("signals"))
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +277,8 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested result of a task as JSON (few replicates). Not registered: its run time isn't settled yet."""
-    found = analysis.analyse(_records(spark, sf_dir), replicates=10)
+    """The nested result of a task as JSON."""
+    found = analysis.analyse(_records(spark, sf_dir))
     return found.select("task", "best_signal", shown(F.col("greedy_accuracy")).alias("greedy_accuracy"), F.size("evaluations").alias("n_signals"), F.to_json(F.struct(*found.columns)).alias("analysis"))
 
 
@@ -264,7 +287,7 @@ QUERIES = {
     for f in (
         auroc_by_signal, average_ranks, signal_rows_long, available_signals, degenerate_signals, separation_table, accuracy_by_split, risk_coverage_curve, aurc, logistic_calibrator, reliability_fixed, reliability_equal_mass,
         ece_fixed, ece_equal_mass, brier, bootstrap_auroc_ci, bootstrap_poisson, interval_bars, best_free_signal, top_signals, span_vs_full, span_finding, ablation_pivot, cost_versus_quality, selective_answering, targets_met,
-        confidence_tiers, tier_gap, worked_examples, signal_histogram, group_medians, cascade_curve, cascade_selected, policy_comparison, flipped_examples, seeded_examples, evaluations,
+        confidence_tiers, tier_gap, worked_examples, signal_histogram, group_medians, cascade_curve, cascade_selected, policy_comparison, flipped_examples, seeded_examples, evaluations, task_analysis, base_error_rate, cost_ratio, same_winner,
     )
 } | {"dev_test_split": dev_test}
 
@@ -333,6 +356,9 @@ ORACLE_SQL = {
     "targets_met": signals(ON_TEST, _POINTS) + "SELECT task, count(*) AS n_targets, count(CASE WHEN met THEN 1 END) AS n_met FROM points GROUP BY task",
     "confidence_tiers": signals(ON_TEST, _TIERS) + f"SELECT task, signal, tier, n, {_num('share')}, {sql_shown('acc')} AS accuracy FROM tiers",
     "tier_gap": signals(ON_TEST, _TIERS) + f"SELECT task, signal, coalesce(gap > 0.1, false) AS separates, {_num('gap')} FROM (SELECT task, signal, max(CASE WHEN tier = 'High' THEN acc END) - max(CASE WHEN tier = 'Low' THEN acc END) AS gap FROM tiers GROUP BY ALL)",
+    "base_error_rate": _ALL + f"SELECT task, {sql_shown('1 - avg(CAST(ok AS INT))')} AS base_error_rate FROM split WHERE split = 'test' GROUP BY task",
+    "cost_ratio": f"WITH {_COSTS}, p AS (SELECT task, max(CASE WHEN tier = 'single_pass' THEN s END) AS single_pass, max(CASE WHEN tier = 'multi_sample' THEN s END) AS multi_sample FROM costs GROUP BY task) SELECT task, {_num('single_pass', 'multi_sample')}, {sql_shown('multi_sample / nullif(single_pass, 0)')} AS ratio FROM p",
+    "same_winner": signals(ON_TEST, _TEST_AUROC) + "SELECT count(DISTINCT signal) = 1 AS same, string_agg(task || ': ' || signal, ', ' ORDER BY task) AS winners FROM ranked WHERE rank = 1",
     "worked_examples": _ALL + f"SELECT task, tier, place, doc_id AS example_id, ok FROM (SELECT *, row_number() OVER (PARTITION BY task, tier ORDER BY pos) AS place FROM (SELECT l.*, CASE WHEN isfinite(value) AND value <= c1 THEN 'High' WHEN isfinite(value) AND value <= c2 THEN 'Medium' ELSE 'Low' END AS tier FROM long l JOIN (SELECT task, quantile_cont(value, {TIER_CUTS[0]}) AS c1, quantile_cont(value, {TIER_CUTS[1]}) AS c2 FROM long WHERE signal = 'answer_max_entropy' AND split = 'dev' AND isfinite(value) GROUP BY task) USING (task) WHERE signal = 'answer_max_entropy' AND split = 'test')) WHERE place <= 2 AND tier IN ('High', 'Low')",
     "signal_histogram": _ALL + f"SELECT task, signal, ok, bin, count(*) AS n, {sql_shown('any_value(a + bin * ((b - a) / 23))')} AS lower FROM (SELECT *, CAST(CASE WHEN b > a THEN least(floor((value - a) / ((b - a) / 23)), 22) ELSE 0 END AS BIGINT) AS bin FROM (SELECT *, min(value) OVER w AS a, max(value) OVER w AS b FROM long WHERE isfinite(value) WINDOW w AS (PARTITION BY task, signal))) GROUP BY ALL",
     "group_medians": _ALL + f"SELECT task, signal, ok, {sql_shown('quantile_cont(value, 0.5)')} AS median FROM long WHERE isfinite(value) GROUP BY ALL",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the plans rely on: adaptive execution coalesces partitions, splits skewed joins and picks broadcasts by measured size.
 DEFAULTS = {
@@ -17,3 +19,17 @@ DEFAULTS = {
 def session(app: str = "veracity", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=DEFAULTS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the folder that spark.checkpoint.dir names, for what several steps read. Only a local master (tests)
+    may go without the setting and gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(root)
+    return df.checkpoint()
