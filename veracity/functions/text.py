@@ -119,12 +119,12 @@ def snippet(c: Column, length: int = 70) -> Column:
 
 def decimals(c: Column, places: int = 3) -> Column:
     """Fixed decimals; a dash for what isn't finite."""
-    return F.when(finite(c), F.format_number(c, f"0.{'0' * places}")).otherwise("—")
+    return F.when(finite(c), F.call_function("format_number", c, F.lit(f"0.{'0' * places}"))).otherwise("—")
 
 
 def percent(c: Column, places: int = 0) -> Column:
     pattern = "0" + ("." + "0" * places if places else "")
-    return F.when(finite(c), F.concat(F.format_number(c * 100, pattern), F.lit("%"))).otherwise("—")
+    return F.when(finite(c), F.concat(F.call_function("format_number", c * 100, F.lit(pattern)), F.lit("%"))).otherwise("—")
 
 
 def finite(c: Column) -> Column:

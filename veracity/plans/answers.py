@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import steps as step_functions
 from ..functions import text as tx
 from ..operators import samples as sm
-from ..operators import tokens
+from ..operators import records, tokens
 from ..operators.reports import cost_by_tier, shown
 from ..sources import adapters as ad
+from ..sources.inference import bidirectional, entailment
 from . import oracle
 from .oracle import shown as sql_shown
 
@@ -134,6 +135,28 @@ def sentence_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("prompt_id", *[shown(F.col(c)).alias(c) for c in floats], "num_semantic_clusters", "num_distinct_answers")
 
 
+def model_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters as semantic_clusters, decided in batches of pairs by a function as a model's, which sees question and answer."""
+
+    def near(pairs: list[tuple[str, str]]) -> list[bool]:
+        digit = lambda said: int(said.rpartition("? ")[2][0])
+        return [abs(digit(a) - digit(b)) <= 1 for a, b in pairs]
+
+    rows = ad.order_samples(spark, sf_dir).withColumn("question", F.concat(F.lit("How urgent is "), F.col("prompt_id").cast("string"), F.lit("?")))
+    found = sm.model_clusters(rows, bidirectional(entailment(near), F.col("question")))
+    return found.select("prompt_id", "sample_idx", "answer", F.col("label").cast("long").alias("label"))
+
+
+def record_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of stand-in generations, flat: texts as digests, some of the signals."""
+    made = records.assemble(*ad.part_generations(spark, sf_dir), same=lambda a, b: F.length(a) == F.length(b))
+    some = ("mean_entropy", "seq_log_prob", "answer_min_margin", "semantic_entropy", "weighted_semantic_entropy", "num_semantic_clusters", "verbalized_confidence")
+    return made.select(
+        "example_id", "task", "greedy_num_tokens", "greedy_correct", "greedy_canonical", F.array_join("answer_span", "-").alias("span"), F.md5(F.array_join("sample_texts", "|")).alias("samples_md5"),
+        F.array_join("sample_canonical", "|").alias("sample_canonical"), "majority_answer", "majority_correct", F.array_join("sample_correct", "|").alias("sample_correct"), *[shown(F.element_at("signals", s)).alias(s) for s in some],
+    )
+
+
 def weighted_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood-weighted entropy of event kinds."""
     return sm.weighted_entropy(ad.user_samples(spark, sf_dir), "answer").select("prompt_id", shown(F.col("weighted_entropy")).alias("weighted_entropy"))
@@ -143,7 +166,7 @@ def tier_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_by_tier(ad.timings(spark, sf_dir)).select("task", "cost_tier", shown(F.col("mean_seconds")).alias("mean_seconds"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_answer, extract_short_answer, alias_exact_match, extract_final_number, score_numeric, canonical_number, verbalized_confidence, chat_messages, snippets, answer_span, step_statistics, chosen_logprob, token_uncertainty, answer_span_uncertainty, lexical_entropy, user_lexical_entropy, majority_answer, user_majority, sample_agreement, semantic_clusters, sentence_uncertainty, weighted_entropy)} | {"cost_by_tier": tier_costs}
+QUERIES = {f.__name__: f for f in (normalize_answer, extract_short_answer, alias_exact_match, extract_final_number, score_numeric, canonical_number, verbalized_confidence, chat_messages, snippets, answer_span, step_statistics, chosen_logprob, token_uncertainty, answer_span_uncertainty, lexical_entropy, user_lexical_entropy, majority_answer, user_majority, sample_agreement, semantic_clusters, sentence_uncertainty, weighted_entropy, model_clusters, record_assembly)} | {"cost_by_tier": tier_costs}
 
 _WS = r"[\s\x0B]"
 _NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[[:punct:]]', '', 'g'), '[\s\x0B]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
@@ -215,6 +238,7 @@ ORACLE_SQL = {
     "majority_answer": f"WITH {oracle.SAMPLES.format(answer='o_orderstatus')}, {_MAJORITY} {_VOTES}",
     "user_majority": f"WITH {oracle.USERS}, {_MAJORITY} {_VOTES}",
     "sample_agreement": f"WITH {_ORDERS}, {_MAJORITY} SELECT s.prompt_id, {sql_shown('avg(CASE WHEN s.answer = w.answer THEN 1e0 ELSE 0e0 END)')} AS agreement FROM samples s JOIN won w USING (prompt_id) GROUP BY s.prompt_id",
+    "model_clusters": f"WITH RECURSIVE {_ORDERS}, {_CLUSTERS} SELECT prompt_id, sample_idx, answer, CAST(label AS BIGINT) AS label FROM labelled",
     "semantic_clusters": f"WITH RECURSIVE {_ORDERS}, {_CLUSTERS} SELECT prompt_id, sample_idx, answer, CAST(label AS BIGINT) AS label FROM labelled",
     "sentence_uncertainty": f"""WITH RECURSIVE {_ORDERS}, {_CLUSTERS}, t AS ({_entropy_of('answer')}), m AS ({_entropy_of('label')}), w AS ({_weighted('label', 'labelled')})
   SELECT prompt_id, {sql_shown('m.h')} AS semantic_entropy, {sql_shown('w.w')} AS weighted_semantic_entropy, {sql_shown('t.h')} AS lexical_entropy, {sql_shown('t.c')} AS self_consistency, {sql_shown('m.c')} AS semantic_self_consistency,

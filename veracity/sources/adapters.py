@@ -122,6 +122,20 @@ def cascade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("prompt_id", F.lit("gsm8k").alias("task"), (-F.col("mean_logp")).alias("u"), (F.col("greedy") == gold).alias("greedy_ok"), (F.col("majority_answer") == gold).alias("majority_ok"))
 
 
+def part_generations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """examples, greedy, samples and replies in the shape of a model's output: a part is a question about its price, its greedy answer is the
+    worked solution of number_text(), one character a token; three samples vary it."""
+    base = number_text(spark, sf_dir).withColumn("example_id", F.format_string("gsm8k-%06d", "id"))
+    examples = base.select("example_id", F.lit("gsm8k").alias("task"), F.concat(F.lit("What does "), "example_id", F.lit(" cost?")).alias("question"), F.array("gold").alias("gold_answers"), F.create_map(F.lit("solution_steps"), F.lit(1).cast("long")).alias("metadata"))
+    places = F.sequence(F.lit(1), F.length("generation"))
+    arrays = {"entropy": lambda i: (i % 7) / 7.0, "max_probability": lambda i: 1.0 / (1 + i % 5), "margin": lambda i: (i % 3) / 4.0, "chosen_log_probability": lambda i: -(i % 11) / 50.0}
+    greedy = base.select("example_id", F.col("generation").alias("text"), F.split("generation", "").alias("pieces"), *[F.transform(places, f).alias(n) for n, f in arrays.items()])
+    said = F.when(F.col("k") == 0, F.col("generation")).when(F.col("k") == 1, F.concat(F.lit("#### "), (F.col("id") % 4).cast("string"))).otherwise(F.concat(F.lit("It is "), (F.col("id") % 3 + 1).cast("string")))
+    samples = base.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select("example_id", F.col("k").alias("sample_idx"), said.alias("text"), F.array(-(F.col("id") % 13) / 10.0, -F.col("k") / 10.0).alias("chosen_log_probability"))
+    replies = base.where("id % 5 <> 0").select("example_id", F.concat(F.lit("About "), (F.col("id") % 120).cast("string"), F.lit("%")).alias("text"))
+    return examples, greedy, samples, replies
+
+
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task, timings: each event is a record in which one stage took the event's value (in seconds); the others
     are missing."""

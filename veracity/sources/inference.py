@@ -32,6 +32,14 @@ def exploded_steps(generations: DataFrame) -> DataFrame:
     return generations.select(F.concat_ws("/", "example_id", "sample_idx").alias("seq_id"), F.posexplode(zipped).alias("step", "z")).select("seq_id", "step", *[F.col(f"z.{f}").alias(f) for f in fields])
 
 
+def entailment_index(labels: dict[int, str], name: str = "entailment") -> int:
+    """The place of the entailment class among a model's labels, whatever their case."""
+    found = [i for i, label in labels.items() if label.lower() == name]
+    if not found:
+        raise RuntimeError(f"the model has no class {name}: {labels}")
+    return int(found[0])
+
+
 def entailment(predict: Callable[[list[tuple[str, str]]], list[bool]], size: int = 32) -> Callable[[Column, Column], Column]:
     """A vectorised (premise, hypothesis) -> boolean column of a batch predictor; clusters by it are
     operators.samples.model_clusters()."""
