@@ -11,7 +11,7 @@ before it survives merging, which gives the merges' own result. Unknown characte
 byte pieces where the model has them.
 
 Cases: a null text stays null, an empty text has no pieces; a very long text is encoded whole, in a slice of its own; ids aren't read; of
-paths with equal scores the one with the shorter last piece counts; U+2581 in a text reads as a space, as in
+paths with equal scores the one with the longer last piece counts; U+2581 in a text reads as a space, as in
 the model's own normalisation; repeated rows are encoded one by one; an empty table gives an empty
 result; further columns pass through, those named like results are replaced.
 """
@@ -62,6 +62,7 @@ class Coder:
             else:
                 self.id[piece], self.score[piece] = i, sp.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
+        self.unknown_score = min(self.score.values(), default=0.0) - 10
         # Every suffix of a piece: its score if it is a piece that merging itself gives, else None.
         self.endings: dict[str, float | None] = {p[i:]: None for p in self.id for i in range(len(p))}
         self.endings.update((p, v) for p, v in self.score.items() if not self.bpe or self.merged(p) == [p])
@@ -113,7 +114,10 @@ class Coder:
             for end in range(same + 1, len(word) + 1):
                 # An unknown character stands alone; a piece goes back as far as some piece ends so.
                 start, chosen = end - 1, word[end - 1]
-                best = None if chosen in endings else total[start] - 1e6
+                if bpe:
+                    best = None if chosen in endings else total[start] - 1e6
+                else:
+                    best = total[start] + self.unknown_score if endings.get(chosen) is None else None
                 for j in range(end - 1, -1, -1):
                     piece = word[j:end]
                     value = endings.get(piece, 0)
@@ -126,7 +130,7 @@ class Coder:
                         if known or known is None and together(pieces[j], piece):
                             start, best, chosen = j, total[j] + value, piece
                             break
-                    elif best is None or total[j] + value > best:
+                    elif best is None or total[j] + value >= best:
                         start, best, chosen = j, total[j] + value, piece
                 back.append(start), total.append(total[start] if best is None else best), pieces.append(chosen)
             found, at = [], len(word)
@@ -147,7 +151,16 @@ class Coder:
         self.words.update((w, x) for w, x in known.items() if len(w) < 64)
         if len(self.words) > WORD_CACHE:  # words not met for a whole generation are forgotten
             self.older, self.words = self.words, {}
-        return [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        joined = [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        return joined if self.byte else [x and self.one_unknown(x) for x in joined]
+
+    def one_unknown(self, ids: bytes) -> bytes:
+        """Neighbouring unknown characters as one piece."""
+        found = np.frombuffer(ids, np.int32)
+        unknown = found == self.unknown
+        unknown[1:] &= unknown[:-1].copy()
+        unknown[:1] = False
+        return found[~unknown].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
