@@ -42,7 +42,7 @@ def operators(spark, docs):
     yield "6", neardup.deduplicate(docs)
     yield "7", rules.quality_rules(docs, labels)
     yield "8", substring.remove_repeats(docs, 2)
-    yield "9", pieces.decode(pieces.encode(docs))
+    yield "9", pieces.round_trip(docs)
 
 
 def test_odd_rows(spark, odd):

@@ -304,6 +304,7 @@ def test_pieces_equal_the_library(spark, docs, none):
     for r in rows:
         assert r["pieces"] == (None if r["text"] is None else sp.encode(r["text"])) and r["decoded"] == r["text"]
     assert pieces.encode(none).count() == 0
+    assert sorted(map(repr, pieces.round_trip(df).collect())) == sorted(map(repr, rows))
 
 
 def test_warc(spark, tmp_path):

@@ -184,14 +184,19 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str = MODEL, column: str = "text", out: str = "pieces") -> DataFrame:
-    """docs with the array of piece ids of `column`. The driver reads the model file (under 1 MB) and
-    sends it to the executors."""
+def round_trip(docs: DataFrame, model: str = MODEL, column: str = "text", out: str = "pieces", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() in one step, so that a task has one Python worker and the ids stay in it."""
+    return encode(docs.drop(decoded), model, column, out, decoded)
+
+
+def encode(docs: DataFrame, model: str = MODEL, column: str = "text", out: str = "pieces", decoded: str | None = None) -> DataFrame:
+    """docs with the array of piece ids of `column`, and, if named, the text that they decode to. The driver reads the
+    model file (under 1 MB) and sends it to the executors."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model_bytes(model))
     base = docs.drop(out)
-    schema = T.StructType([*base.schema, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*base.schema, T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(shared.value)
@@ -202,7 +207,10 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "text", out: str =
                 # A list whose offset is null is null.
                 offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32(), mask=np.array([x is None for x in found] + [False]))
                 values = pa.array(np.frombuffer(b"".join(x for x in found if x), np.int32))
-                yield from rows.append_column(out, pa.ListArray.from_arrays(offsets, values)).combine_chunks().to_batches()
+                rows = rows.append_column(out, pa.ListArray.from_arrays(offsets, values))
+                if decoded:
+                    rows = rows.append_column(decoded, pa.array([None if x is None else code.decode(np.frombuffer(x, np.int32)) for x in found], pa.string()))
+                yield from rows.combine_chunks().to_batches()
 
     return base.mapInArrow(run, schema)
 

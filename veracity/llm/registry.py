@@ -48,7 +48,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode it again, and give counts, a digest of the ids and whether the
     text came back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs))
+    both = pieces.round_trip(docs)
     return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
