@@ -34,11 +34,16 @@ UNKNOWN = "und"
 #: Numbers that aren't decimal digits, such as fractions, are word characters, but no letters.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
 _NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NOT_WORDS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
     """Lower-case words of letters, joined by a space."""
-    return _NOT_LETTERS.sub(" ", text).strip().lower() if text else ""
+    plain = _NOT_WORDS.sub(" ", text) if text else ""
+    # The long class of numbers is slow on each character; only texts that hold such numbers need it.
+    if not plain.isascii() and not plain.replace(" ", "").isalpha():
+        plain = _NOT_LETTERS.sub(" ", text)
+    return plain.strip().lower()
 
 
 def fold(doc_id: Column) -> Column:
