@@ -191,7 +191,7 @@ def possible_pairs(apart: DataFrame, texts: DataFrame, single: DataFrame, least:
 
     live = apart.join(known.select("doc_id", "reach", "keys"), "doc_id").where(F.col("reach") >= least * F.col("size") - 1e-6).checkpoint()
     for _ in range(2):  # who can't reach the smallest in the bucket goes, then buckets of one class
-        some = live.groupBy("key").agg(F.min("size").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "s")
+        some = live.groupBy("key").agg(F.min("size").alias("s"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key", "s").checkpoint()
         live = live.join(some, "key").where("reach >= s").drop("s").checkpoint()
     x, y = live.alias("x"), live.alias("y")
     differ = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))
