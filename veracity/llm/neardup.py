@@ -226,7 +226,7 @@ def components(links: DataFrame) -> DataFrame:
     can_checkpoint(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
         # Large star: each larger neighbour is tied to the node's smallest.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct().checkpoint()
@@ -234,7 +234,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         small = large.join(low, "u").select(pair.alias("e")).select("e.*").where("u > v").distinct().checkpoint()
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        # Neither has a row twice, so that as many rows and none that is new mean the same rows.
+        if small.count() == edges.count() and small.exceptAll(edges).isEmpty():
             break
         edges = small
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
@@ -271,7 +272,10 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     mates = possible_pairs(apart, rows, digests.where("texts = 1").select("doc_id"), least)
     more = mates.join(tried, ["a", "b"], "left_anti").checkpoint()
     if not more.isEmpty():
-        classes = components(links.unionByName(linked(more, rows, least))).checkpoint()
+        found_late = linked(more, rows, least).checkpoint()
+        if not found_late.isEmpty():
+            # Each node's tie to its class stands for the links that are already joined up.
+            classes = components(classes.toDF("a", "b").unionByName(found_late)).checkpoint()
     drop_folder(spark, path)
     out = digests.select("doc_id").join(copies, "doc_id", "left").withColumn("node", F.coalesce("first_id", "doc_id"))
     return out.join(classes, "node", "left").select("doc_id", F.coalesce("class", "node").alias("class_id"))
