@@ -16,7 +16,7 @@ text is read against every block.
 
 Cases: a null or empty text is clean; null, empty or blank items match nothing; an item shorter
 than Q characters must occur exactly; a very long text or item is compared whole; equal items are all reported; a text that several bands or items
-fit has each item once; repeated rows are judged one by one; an id may be missing; an empty benchmark or table gives no match; further columns pass
+fit has each item once; repeated rows are judged one by one; an id may be missing (items found without one are reported as one null, last); an empty benchmark or table gives no match; further columns pass
 through where rows are filtered, one named like the result is replaced.
 """
 
@@ -277,8 +277,12 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[bool]:
     return out
 
 
+def in_order(ids: set[int | None]) -> list[int | None]:
+    return sorted(ids, key=lambda k: (k is None, k or 0))
+
+
 def contamination(texts: list[str | None], blocks: list[Block]) -> list[list[int]]:
-    """Sorted item ids found in each text."""
+    """Sorted item ids found in each text, those of items without one last."""
     plains = [plain(t) for t in texts]
     start = np.cumsum([0, *(len(t) + 1 for t in plains)])[:-1]
     chars = narrow("\n".join(plains))  # a plain text and an item hold no line end, so no shared q-gram crosses one
@@ -305,7 +309,7 @@ def contamination(texts: list[str | None], blocks: list[Block]) -> list[list[int
             for text, body in enumerate(plains):
                 if words_ in body:
                     found[text].add(name)
-    return [sorted(x) for x in found]
+    return [in_order(x) for x in found]
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -339,7 +343,7 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFram
                 for rows in slices(batch):
                     new = contamination(rows["text"].to_pylist(), [block])
                     old = rows[name].to_pylist()
-                    both = pa.array([sorted({*a, *b}) for a, b in zip(old, new, strict=True)], pa.list_(pa.int64()))
+                    both = pa.array([in_order({*a, *b}) for a, b in zip(old, new, strict=True)], pa.list_(pa.int64()))
                     rows = rows.set_column(rows.schema.get_field_index(name), name, both)
                     yield from rows.combine_chunks().to_batches()
 

@@ -60,7 +60,7 @@ def luhn(digits: str) -> bool:
 def holds(kind: str, text: str) -> bool:
     """The check that a match of the pattern must pass."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in text.split(".")))
     if kind == "email":
         return True
     digits = _NOT_DIGIT.sub("", text)

@@ -93,11 +93,13 @@ def fit(x: np.ndarray, good: np.ndarray, l2: float = 1.0) -> Evidence:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Evidence:
-    """Fit on a bounded sample of labelled rows, chosen by a hash of the id."""
+    """Fit on at most `rows` labelled ids, chosen by a hash of the id, and one text of each (of repeated ids the one of
+    the smallest hash)."""
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = rows / max(rows, marked.count())
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", byte_features("text").alias("x")).toPandas().sort_values("doc_id")
+    chosen = marked.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
+    described = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("hash"), byte_features("text").alias("x"))
+    one = described.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("x", "hash").alias("x"))
+    found = one.toPandas().sort_values("doc_id")
     return fit(np.array(found["x"].tolist()).reshape(-1, N_FEATURES), found["quality"].to_numpy() > 0)
 
 

@@ -111,13 +111,14 @@ def fit(texts: list[str | None], good: np.ndarray, steps: int = 120, l2: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_TEXT) -> Model:
-    """Fit on a bounded sample of the labelled rows, chosen by a hash of the id; a longer text gives `chars` characters
-    from anywhere."""
+    """Fit on at most `rows` labelled ids, chosen by a hash of the id, and one text of each (of repeated ids the one of
+    the smallest hash); a longer text gives `chars` characters from anywhere."""
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = rows / max(rows, marked.count())
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    text = docs.select("doc_id", piece_of(F.col("text"), F.xxhash64("doc_id", "text", F.lit(9)), chars).alias("text"))
-    got = chosen.join(text, "doc_id").select("doc_id", "quality", "text").toPandas().sort_values(["doc_id", "text"])
+    chosen = marked.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
+    hash_ = F.xxhash64("doc_id", "text", F.lit(9))
+    text = docs.select("doc_id", hash_.alias("hash"), piece_of(F.col("text"), hash_, chars).alias("text"))
+    one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", "hash").alias("text"))
+    got = one.toPandas().sort_values("doc_id")
     return fit(got["text"].tolist(), (got["quality"].to_numpy() > 0))
 
 
