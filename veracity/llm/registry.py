@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neardup, pieces, pii, quality, rules, substring, suffix, warc
+from . import clusters, decontaminate, extract, language, neardup, pieces, pii, quality, rules, substring, suffix, warc, whitening
 from .common import shared_folder, table
 
 
@@ -60,9 +60,37 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described_files(warc.import_warc(spark, f"{path}/warc")).drop("digest_ok")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op6_near_dedup, op7_quality_rules, op8_substring_dedup, op9_pieces, op10_warc)}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = extract.train(extract.text_blocks(extract.labelled_table(spark)))
+    return extract.extract(table(spark, sf_dir, "pages"), tree).drop("n_blocks", "n_main_blocks")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = clusters.quantised(table(spark, sf_dir, "embeddings"))
+    return clusters.cluster(points, clusters.first_centroids(points))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_crf, op2_suffix_dedup, op3_quality_bayes, op4_language_id, op5_decontaminate, op6_near_dedup, op7_quality_rules, op8_substring_dedup, op9_pieces, op10_warc,
+        op11_main_text, op12_centroids, op13_whitening,
+    )
+}
+
 
 _BITS = "('0x' || substr(h, {a}, 5))::BIGINT"
+#: Rounds of op12: each vector's least distance * 16 + centroid, and the next centroids (floors of exact means).
+_NEAREST = """
+     a{i} AS (SELECT vec_id, any_value(v.x) AS x, min(16 * CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i]))) AS BIGINT) + k.c) AS best FROM v, k{i} AS k GROUP BY vec_id)"""
+_MEANS = """
+     s{i} AS (SELECT best % 16 AS c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(i) GROUP BY ALL),
+     k{j} AS (SELECT k.c, coalesce(m.x, k.x) AS x FROM k{i} AS k LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{i} GROUP BY c) AS m USING (c))"""
+_ROUNDS = ",".join(_NEAREST.format(i=i) + (("," + _MEANS.format(i=i, j=i + 1)) if i < 3 else "") for i in range(4))
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLE_SQL = {
@@ -100,4 +128,19 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to
 FROM d""",
+    "op12_centroids": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+     k0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h LIMIT 16)),{_ROUNDS},
+     o AS (SELECT vec_id, best % 16 AS c, best // 16 AS d FROM a3)
+SELECT vec_id, CAST(o.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY o.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(k3.x, ',')) AS centroid_sha256
+FROM o JOIN k3 ON o.c = k3.c""",
+    # The markup of these tables only: an article of paragraphs and a heading, and two kinds of references.
+    "op11_main_text": """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+     b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1)>') AS w FROM a),
+     c AS (SELECT page_id, url, list_transform(w, lambda s: trim(regexp_replace(regexp_replace(regexp_replace(s, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS w FROM b),
+     d AS (SELECT page_id, url, array_to_string(list_filter(w, lambda s: s <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
 }
