@@ -10,15 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finite
+from . import resample
 from .registry import BOOTSTRAP, CONFIDENCE, NUM_BINS, SEED
-from .split import PREFIX
 
 NAN = float("nan")
 RANGES = 32
 
 
-
-
 def rank_table(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", weight: Column | None = None, ranges: int = RANGES) -> DataFrame:
     """by..., u, n, wrong, below, below_wrong: each distinct finite value with its counts and those of all smaller values."""
     w = F.lit(1).cast("long") if weight is None else weight
@@ -65,19 +63,26 @@ def quantiles(table: DataFrame, by: list[str], probabilities: dict[str, float])
     return full.groupBy(*by).agg(*out)
 
 
-def risk_coverage(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", pos: str = "pos", **options) -> DataFrame:
-    """by..., u, pos, rank, wrong_so_far, coverage, risk: rows by u, then by place. Within a tie rows are
-    ordered by hash-prefix parts of `pos`, so that one value can't fill a task."""
-    rows = scored.where(finite(F.col(u))).select(*by, F.col(u).alias("u"), F.col(ok).alias("_ok"), F.col(pos).alias("pos"), F.substring(pos, 1, 2).alias("_s"))
-    table = rank_table(rows, by, "u", "_ok", **options)
-    parts = rows.groupBy(*by, "u", "_s").agg(F.count("*").alias("_c"), F.sum(F.when(F.col("_ok"), 0).otherwise(1)).alias("_e"))
+def placed(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", pos: str = "pos", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """by..., u, ok, pos, tie, rank, wrong_so_far, n, n_wrong and what is kept: rows by u, then by place, with the counts of their group and where their
+    tie begins and ends. Within a tie rows are ordered by hash-prefix parts of `pos`, so that one value can't fill a task."""
+    rows = scored.where(finite(F.col(u))).select(*by, F.col(u).alias("u"), F.coalesce(F.col(ok), F.lit(False)).alias("ok"), F.col(pos).alias("pos"), F.substring(pos, 1, 2).alias("_s"), *keep)
+    table = rank_table(rows, by, "u", "ok", **options)
+    wrong = F.when(F.col("ok"), 0).otherwise(1)
+    parts = rows.groupBy(*by, "u", "_s").agg(F.count("*").alias("_c"), F.sum(wrong).alias("_e"))
     earlier = Window.partitionBy(*by, "u").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*by, "u", "_s", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c"), F.coalesce(F.sum("_e").over(earlier), F.lit(0)).alias("_e"))
-    base = parts.join(table.select(*by, "u", "below", "below_wrong"), [*by, "u"]).select(*by, "u", "_s", (F.col("below") + F.col("_c")).alias("_c"), (F.col("below_wrong") + F.col("_e")).alias("_e"))
-    total = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    tie = F.struct("below", "below_wrong", (F.col("below") + F.col("n")).alias("end"), (F.col("below_wrong") + F.col("wrong")).alias("wrong_end"))
+    base = parts.join(table.select(*by, "u", "below", "below_wrong", tie.alias("tie")), [*by, "u"]).select(*by, "u", "_s", (F.col("below") + F.col("_c")).alias("_c"), (F.col("below_wrong") + F.col("_e")).alias("_e"), "tie")
+    total = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(wrong).alias("n_wrong"))
     inside = Window.partitionBy(*by, "u", "_s").orderBy("pos")
-    ranked = rows.join(base, [*by, "u", "_s"]).select(*by, "u", "pos", (F.row_number().over(inside) + F.col("_c")).alias("rank"), (F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(inside) + F.col("_e")).alias("wrong_so_far"))
-    return ranked.join(total, by).select(*by, "u", "pos", "rank", "wrong_so_far", (F.col("rank") / F.col("_n")).alias("coverage"), (F.col("wrong_so_far") / F.col("rank")).alias("risk"))
+    ranked = rows.join(base, [*by, "u", "_s"]).select(*by, "u", "ok", "pos", "tie", *keep, (F.row_number().over(inside) + F.col("_c")).alias("rank"), (F.sum(wrong).over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_e")).alias("wrong_so_far"))
+    return ranked.join(total, by)
+
+
+def risk_coverage(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", pos: str = "pos", **options) -> DataFrame:
+    """by..., u, pos, rank, wrong_so_far, coverage, risk: rows by u, then by place."""
+    return placed(scored, by, u, ok, pos, **options).select(*by, "u", "pos", "rank", "wrong_so_far", (F.col("rank") / F.col("n")).alias("coverage"), (F.col("wrong_so_far") / F.col("rank")).alias("risk"))
 
 
 def aurc(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -115,55 +120,47 @@ def brier(rows: DataFrame, by: list[str], conf: str = "conf", ok: str = "ok") ->
     return rows.groupBy(*by).agg(F.avg(F.pow(F.col(conf) - F.col(ok).cast("double"), 2)).alias("brier"))
 
 
-def resample_counts(n: int | Column, replicates: int, index: str = "idx", seed: int = SEED) -> Column:
-    """The drawn place (0 .. n-1) of (rep, draw) by a stable hash."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "draw")), 1, 8), 16, 10).cast("long"), n)
+def poisson_counts(rows: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """rows with rep and k: an independent Poisson(1) count of each row in each replicate, by hash; rows that weren't drawn are left out."""
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    unit = (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "pos")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    cumulative, p, k = 0.0, 0.36787944117144233, F.lit(0)
+    for i in range(1, 12):
+        cumulative, p = cumulative + p, p / i
+        k = k + F.when(F.col("_unit") >= cumulative, 1).otherwise(0)
+    return rows.select("*", reps).withColumn("_unit", unit).withColumn("k", k.cast("long")).where("k > 0").drop("_unit")
 
 
-def bootstrap(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", pos: str = "pos", replicates: int = BOOTSTRAP, metric: str = "auroc", confidence: float = CONFIDENCE, seed: int = SEED, mode: str = "multinomial") -> DataFrame:
+def bootstrap(scored: DataFrame, by: list[str], u: str = "u", ok: str = "ok", pos: str = "pos", replicates: int = BOOTSTRAP, metric: str | resample.Metric = "auroc", confidence: float = CONFIDENCE, seed: int = SEED, mode: str = "multinomial") -> DataFrame:
     """by..., value, lower, upper. Rows are drawn with replacement, paired, as counts per row; replicates
     without a value fall out.
 
-    multinomial draws n places by hash, numbered by counts of hash prefixes of `pos` as in split.py; its draw
-    table has n rows a replicate. poisson gives each row an independent Poisson(1) count from a hash and needs
-    no numbering: the form for large groups, one pass, no draw table.
+    metric is "auroc", "aurc", or any resample.Metric. multinomial draws exactly as many rows as the group has, by
+    splitting (resample.py). poisson gives each row an independent count and knows "auroc" only.
     """
-    rows = scored.where(finite(F.col(u))).select(*by, F.col(u).alias("u"), F.col(ok).alias("ok"), F.col(pos).alias("pos"))
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    if isinstance(metric, str):
+        known = {m.name: m for m in (resample.AUROC, resample.AURC)}
+        if metric not in known:
+            raise ValueError(f"unknown metric: {metric}")
+        metric = known[metric]
     if mode == "multinomial":
-        parts = rows.withColumn("_p", F.substring("pos", 1, PREFIX))
-        order = Window.partitionBy(*by).orderBy("_p")
-        below = parts.groupBy(*by, "_p").agg(F.count("*").alias("_c")).select(*by, "_p", (F.sum("_c").over(order) - F.col("_c")).alias("_below"))
-        inside = Window.partitionBy(*by, "_p").orderBy("pos")
-        numbered = parts.join(below, [*by, "_p"]).withColumn("idx", F.col("_below") + F.row_number().over(inside) - 1).drop("_p", "_below")
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("m"))
-        # Groups of one size share a draw table.
-        # Each replicate is drawn in a task of its own; the counts are far larger than their source looks, so they aren't broadcast.
-        draws = sizes.select("m").distinct().select("m", reps).repartition("m", "rep").select("m", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("draw"))
-        counts = draws.withColumn("idx", resample_counts(F.col("m"), replicates, seed=seed)).groupBy("m", "rep", "idx").agg(F.count("*").alias("k"))
-        drawn = numbered.join(sizes, by).join(counts.hint("merge"), ["m", "idx"]).drop("m", "idx")
+        rows = placed(scored, by, u, ok, pos, tuple(c for c in metric.columns if c not in ("u", "ok", "pos")))
+        each = resample.replicate_values(rows, by, metric, replicates, seed)
     elif mode == "poisson":
-        unit = (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "rep", "pos")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-        cumulative, p, k = 0.0, 0.36787944117144233, F.lit(0)
-        for i in range(1, 12):
-            cumulative, p = cumulative + p, p / i
-            k = k + F.when(F.col("_unit") >= cumulative, 1).otherwise(0)
-        drawn = rows.select("*", reps).withColumn("_unit", unit).withColumn("k", k.cast("long")).where("k > 0").drop("_unit")
+        if metric.name != "auroc":
+            raise ValueError("poisson counts are for auroc; draw others with multinomial")
+        rows = scored.where(finite(F.col(u))).select(*by, F.col(u).alias("u"), F.col(ok).alias("ok"), F.col(pos).alias("pos"))
+        keys = [*by, "rep"]
+        drawn = auroc(rank_table(poisson_counts(rows, by, replicates, seed), keys, weight=F.col("k")), keys)
+        point = auroc(rank_table(rows, by), by).select(*by, F.lit(-1).alias("rep"), "auroc")
+        each = drawn.select(*keys, "auroc").unionByName(point).withColumnRenamed("auroc", "value")
     else:
         raise ValueError(f"unknown mode: {mode}")
-    keys = [*by, "rep"]
-    if metric == "auroc":
-        each = auroc(rank_table(drawn, keys, weight=F.col("k")), keys)
-        point = auroc(rank_table(rows, by), by)
-    elif metric == "aurc":
-        copies = drawn.select(*keys, "u", "ok", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("k")), lambda i: F.concat("pos", F.lpad(i.cast("string"), 4, "0")))).alias("pos"))
-        each, point = aurc(risk_coverage(copies, keys), keys), aurc(risk_coverage(rows, by), by)
-    else:
-        raise ValueError(f"unknown metric: {metric}")
     tail = (1 - confidence) / 2
-    values = rank_table(each.select(*by, F.col(metric).alias("u"), F.lit(True).alias("ok")), by, ranges=1)
-    bounds = quantiles(values, by, {"lower": tail, "upper": 1 - tail})
-    return point.select(*by, F.col(metric).alias("value")).join(bounds, by, "left").select(*by, "value", F.coalesce("lower", F.lit(NAN)).alias("lower"), F.coalesce("upper", F.lit(NAN)).alias("upper"))
+    # The values of a group's replicates are its few thousand rows here.
+    some = F.when((F.col("rep") >= 0) & finite(F.col("value")), F.col("value"))
+    found = each.groupBy(*by).agg(F.max(F.when(F.col("rep") < 0, F.col("value"))).alias("value"), F.percentile(some, F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    return found.select(*by, *[F.coalesce(c, F.lit(NAN)).alias(name) for name, c in (("value", F.col("value")), ("lower", F.get("_q", F.lit(0))), ("upper", F.get("_q", F.lit(1))))])
 
 
 def accuracy(rows: DataFrame, by: list[str], ok: str = "ok") -> DataFrame:

@@ -70,7 +70,7 @@ CURVE = """curve AS MATERIALIZED (SELECT task, signal, doc_id, u, pos, rank, wro
 
 def signals(where: str = "", more: list[str] | None = None) -> str:
     """WITH clause up to u and what else is given; where: the rows that decide which signals count."""
-    return "WITH " + ",\n".join([STAT, REGISTRY, SPLIT, LONG, USABLE.format(where=where), U, *(more or [])]) + "\n"
+    return "WITH RECURSIVE " + ",\n".join([STAT, REGISTRY, SPLIT, LONG, USABLE.format(where=where), U, *(more or [])]) + "\n"
 
 
 ON_TEST = " AND split = 'test'"
@@ -86,7 +86,7 @@ def calibrated() -> list[str]:
   SELECT task, signal, any_value(w) AS w, any_value(b) AS b, sum((p - y) * u) AS gw, sum(p - y) AS gb, sum(p * (1 - p) * u * u) AS hww, sum(p * (1 - p) * u) AS hwb, sum(p * (1 - p)) AS hbb FROM (
     SELECT task, signal, w, b, u, CAST(ok AS INT) AS y, 1e0 / (1e0 + exp(-(w * u + b))) AS p FROM dev JOIN n{i - 1} USING (task, signal)) GROUP BY ALL))""")
     out.append(f"model AS (SELECT task, signal, w, b, k / n AS base FROM sums LEFT JOIN n{ROUNDS} USING (task, signal))")
-    out.append("conf AS MATERIALIZED (SELECT task, signal, doc_id, ok, round(coalesce(1e0 / (1e0 + exp(-(w * u + b))), base, 0.5e0), 9) AS conf FROM test LEFT JOIN model USING (task, signal))")
+    out.append("conf AS MATERIALIZED (SELECT task, signal, doc_id, u, pos, ok, round(coalesce(1e0 / (1e0 + exp(-(w * u + b))), base, 0.5e0), 9) AS conf FROM test LEFT JOIN model USING (task, signal))")
     return out
 
 
@@ -100,16 +100,56 @@ BINS = """bins AS (SELECT task, signal, bin, count(*) AS n, avg(conf) AS mean_co
 ECE = "ece AS (SELECT task, signal, sum(n * abs(mean_conf - accuracy)) / sum(n) AS ece, max(abs(mean_conf - accuracy)) AS mce FROM bins GROUP BY ALL)"
 
 
-def bootstrap_values(rows: str, replicates: int = BOOTSTRAP) -> list[str]:
-    """CTEs that end in `each`: the AUROC of every replicate (task, signal, rep), resampled by hash."""
+#: Mixing of a node's hash and a replicate to a number in (0, 1), in steps of 32 bits.
+_UNIT = """SELECT * EXCLUDE (x), (xor(x, x >> 15) + 0.5e0) / 4294967296e0 AS unit FROM (SELECT * EXCLUDE (x), (xor(x, x >> 15) * 1935289751) & 4294967295 AS x FROM (
+    SELECT * EXCLUDE (x), (xor(x, x >> 16) * 569420461) & 4294967295 AS x FROM (SELECT *, (('0x' || substr(md5({name}), 1, 8))::BIGINT + rep * 2654435769) & 4294967295 AS x FROM {rows})))"""
+
+
+def draws(rows: str, replicates: int = BOOTSTRAP) -> list[str]:
+    """CTEs that end in `drawn`: the rows with their count k in each replicate (rep) that drew them, by binomial splitting: between the classes of
+    a group, then between halves of a class's rows in the order of their values."""
+    root, node = f"'{SEED}-' || n || '-' || n_wrong", f"'{SEED}-' || n || '-' || n_wrong || '-' || class || '-' || low || '-' || high"
     return [
-        f"numbered AS (SELECT *, row_number() OVER (PARTITION BY task, signal ORDER BY pos) - 1 AS idx, count(*) OVER (PARTITION BY task, signal) AS m FROM {rows})",
-        f"draws AS (SELECT m, rep, ('0x' || substr(md5('{SEED}-' || rep || '-' || draw), 1, 8))::BIGINT % m AS idx FROM (SELECT DISTINCT m FROM numbered), range(0, {replicates}) AS a(rep), LATERAL (SELECT unnest(range(0, m)) AS draw))",
-        "drawn AS (SELECT task, signal, rep, u, ok, count(*) AS k FROM numbered JOIN draws USING (m, idx) GROUP BY task, signal, rep, u, ok)",
+        f"""placed AS MATERIALIZED (SELECT *, CAST(ok AS INT) AS class, CASE WHEN ok THEN rank - wrong_so_far - 1 ELSE wrong_so_far - 1 END AS idx FROM (
+  SELECT *, row_number() OVER w AS rank, CAST(sum(1 - CAST(ok AS INT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS wrong_so_far, count(*) OVER g AS n, CAST(sum(1 - CAST(ok AS INT)) OVER g AS BIGINT) AS n_wrong
+  FROM {rows} WINDOW w AS (PARTITION BY task, signal ORDER BY u, pos), g AS (PARTITION BY task, signal)))""",
+        "kinds AS MATERIALIZED (SELECT DISTINCT n, n_wrong FROM placed)",
+        """tree AS (SELECT DISTINCT size FROM (SELECT n_wrong AS size FROM kinds UNION ALL SELECT n - n_wrong FROM kinds)
+  UNION SELECT DISTINCT CASE WHEN side = 0 THEN size // 2 ELSE size - size // 2 END FROM tree, (VALUES (0), (1)) AS s(side) WHERE size > 1)""",
+        "shapes AS (SELECT size // 2 AS part, size FROM tree WHERE size > 1 UNION SELECT size - size // 2, size FROM tree WHERE size > 1 UNION SELECT n_wrong, n FROM kinds WHERE n_wrong > 0 AND n_wrong < n)",
+        """ways AS (SELECT d, j, coalesce(sum(CASE WHEN j > 0 THEN ln((d - j + 1) / CAST(j AS DOUBLE)) END) OVER (PARTITION BY d ORDER BY j ROWS UNBOUNDED PRECEDING), 0e0) AS ways
+  FROM range(0, (SELECT max(n) + 1 FROM kinds)) AS a(d), LATERAL (SELECT unnest(range(0, d + 1)) AS j))""",
+        """reach AS (SELECT part, size, d, j, sum(exp(ways + j * ln(part / CAST(size AS DOUBLE)) + (d - j) * ln(1 - part / CAST(size AS DOUBLE)))) OVER (PARTITION BY part, size, d ORDER BY j ROWS UNBOUNDED PRECEDING) AS reach FROM shapes, ways)""",
+        "shares AS MATERIALIZED (SELECT part, size, d, j, CASE WHEN j = 0 THEN -1e0 ELSE lag(reach) OVER w END AS above, CASE WHEN j = d THEN 2e0 ELSE reach END AS reach FROM reach WINDOW w AS (PARTITION BY part, size, d ORDER BY j))",
+        f"""roots AS MATERIALIZED (SELECT u.n, u.n_wrong, rep, CASE WHEN n_wrong = 0 THEN 0 WHEN n_wrong = u.n THEN n ELSE j END AS d FROM ({_UNIT.format(name=root, rows=f"(SELECT * FROM kinds, range(0, {replicates}) AS r(rep))")}) u
+  LEFT JOIN shares s ON s.part = n_wrong AND s.size = n AND s.d = n AND unit > above AND unit <= reach)""",
+        f"""nodes AS (SELECT n, n_wrong, rep, 0 AS class, CAST(0 AS BIGINT) AS low, n_wrong AS high, d FROM roots WHERE n_wrong > 0 UNION ALL SELECT n, n_wrong, rep, 1, 0, n - n_wrong, n - d FROM roots WHERE n_wrong < n
+  UNION ALL SELECT n, n_wrong, rep, class, CASE WHEN side = 0 THEN low ELSE (low + high) // 2 END, CASE WHEN side = 0 THEN (low + high) // 2 ELSE high END, CASE WHEN side = 0 THEN j ELSE u.d - j END
+  FROM ({_UNIT.format(name=node, rows="(SELECT * FROM nodes WHERE high - low > 1 AND d > 0)")}) u JOIN shares s ON s.part = (low + high) // 2 - low AND s.size = high - low AND s.d = u.d AND unit > above AND unit <= reach, (VALUES (0), (1)) AS t(side))""",
+        "drawn AS MATERIALIZED (SELECT p.*, rep, d AS k FROM placed p JOIN (SELECT * FROM nodes WHERE high - low = 1 AND d > 0) t ON p.n = t.n AND p.n_wrong = t.n_wrong AND p.class = t.class AND p.idx = t.low)",
+    ]
+
+
+#: `each`: the value of every replicate (task, signal, rep), from `drawn`.
+EACH = {
+    "auroc": [
         "ties AS (SELECT task, signal, rep, u, sum(CASE WHEN ok THEN 0 ELSE k END) AS wrong, sum(CASE WHEN ok THEN k ELSE 0 END) AS right_ FROM drawn GROUP BY ALL)",
         "run AS (SELECT *, coalesce(sum(right_) OVER (PARTITION BY task, signal, rep ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM ties)",
         "each AS (SELECT task, signal, rep, sum(wrong * (below + right_ / 2e0)) / (CAST(sum(wrong) AS DOUBLE) * sum(right_)) AS value FROM run GROUP BY ALL HAVING sum(wrong) > 0 AND sum(right_) > 0)",
-    ]
+    ],
+    # Every copy is a row here.
+    "aurc": [
+        "copies AS (SELECT task, signal, rep, rank, copy, ok FROM drawn, LATERAL (SELECT unnest(range(0, k)) AS copy))",
+        "each AS (SELECT task, signal, rep, avg(wrong / CAST(place AS DOUBLE)) AS value FROM (SELECT task, signal, rep, row_number() OVER w AS place, sum(1 - CAST(ok AS INT)) OVER (w ROWS UNBOUNDED PRECEDING) AS wrong FROM copies WINDOW w AS (PARTITION BY task, signal, rep ORDER BY rank, copy)) GROUP BY ALL)",
+    ],
+    "brier": ["each AS (SELECT task, signal, rep, sum(k * (conf - CAST(ok AS INT)) * (conf - CAST(ok AS INT))) / sum(k) AS value FROM drawn GROUP BY ALL)"],
+    "ece": ["each AS (SELECT task, signal, rep, sum(abs(gap)) / sum(n) AS value FROM (SELECT task, signal, rep, len(list_filter([" + ", ".join(f"{i} * 0.1e0" for i in range(1, 10)) + "], lambda e: e <= conf)) AS bin, sum(k * (conf - CAST(ok AS INT))) AS gap, sum(k) AS n FROM drawn GROUP BY ALL) GROUP BY ALL)"],
+}
+
+
+def bootstrap_values(rows: str, replicates: int = BOOTSTRAP, metric: str = "auroc") -> list[str]:
+    """CTEs that end in `each`, the metric's value in every replicate."""
+    return [*draws(rows, replicates), *EACH[metric]]
 
 
 LADDER = "ladder(task, target) AS (VALUES " + ", ".join(f"('{t}', {x}e0)" for t, xs in TARGETS.items() for x in xs) + ")"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, calibrate, decisions, metrics, reports
+from ..operators import analysis, calibrate, decisions, metrics, reports, resample
 from ..operators import signals as sg
-from ..operators.registry import BOOTSTRAP, BUDGETS, NEAR_BEST, NUM_SAMPLES, TARGETS, TIER_CUTS, target_ladder
+from ..operators.registry import BOOTSTRAP, BUDGETS, NEAR_BEST, NUM_BINS, NUM_SAMPLES, TARGETS, TIER_CUTS, target_ladder
 from ..operators.reports import shown
 from ..operators.split import dev_test_split
 from ..session import checkpointed
@@ -137,6 +137,23 @@ def bootstrap_auroc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(_intervals(spark, sf_dir).withColumn("rank", F.col("rank").cast("long")), [*KEYS, "rank"], "auroc", "auroc_lower", "auroc_upper")
 
 
+def bootstrap_aurc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(metrics.bootstrap(_test(spark, sf_dir), KEYS, replicates=REPLICATES, metric="aurc"), KEYS, "value", "lower", "upper")
+
+
+def _supplied(spark: SparkSession, sf_dir: str, metric: resample.Metric) -> DataFrame:
+    """Intervals of a metric of confidences, which a caller supplies."""
+    return _each(metrics.bootstrap(checkpointed(analysis.calibrated(_oriented(spark, sf_dir))), KEYS, replicates=REPLICATES, metric=metric), KEYS, "value", "lower", "upper")
+
+
+def bootstrap_brier_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supplied(spark, sf_dir, resample.brier_metric())
+
+
+def bootstrap_ece_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _supplied(spark, sf_dir, resample.ece_metric(NUM_BINS))
+
+
 def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form for large groups: independent counts by row, one pass."""
     return _each(metrics.bootstrap(_test(spark, sf_dir), KEYS, replicates=REPLICATES, mode="poisson"), KEYS, "value", "lower", "upper")
@@ -286,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         auroc_by_signal, average_ranks, signal_rows_long, available_signals, degenerate_signals, separation_table, accuracy_by_split, risk_coverage_curve, aurc, logistic_calibrator, reliability_fixed, reliability_equal_mass,
-        ece_fixed, ece_equal_mass, brier, bootstrap_auroc_ci, bootstrap_poisson, interval_bars, best_free_signal, top_signals, span_vs_full, span_finding, ablation_pivot, cost_versus_quality, selective_answering, targets_met,
+        ece_fixed, ece_equal_mass, brier, bootstrap_auroc_ci, bootstrap_aurc_ci, bootstrap_brier_ci, bootstrap_ece_ci, bootstrap_poisson, interval_bars, best_free_signal, top_signals, span_vs_full, span_finding, ablation_pivot, cost_versus_quality, selective_answering, targets_met,
         confidence_tiers, tier_gap, worked_examples, signal_histogram, group_medians, cascade_curve, cascade_selected, policy_comparison, flipped_examples, seeded_examples, evaluations, task_analysis, base_error_rate, cost_ratio, same_winner,
     )
 } | {"dev_test_split": dev_test}
@@ -296,6 +313,7 @@ _RANK = "row_number() OVER (PARTITION BY task ORDER BY auroc IS NULL, auroc DESC
 _TEST_AUROC = [TEST, oracle.AUROC.format(rows="test"), f"ranked AS (SELECT a.*, r.ordinal, r.tier, {_RANK} AS rank FROM auroc a JOIN registry r USING (signal))"]
 _CONF = [DEV, TEST, *oracle.calibrated()]
 _INTERVALS = [*_TEST_AUROC, *oracle.bootstrap_values("test", REPLICATES), "ci AS (SELECT task, signal, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM each GROUP BY ALL)", "spans AS (SELECT * FROM ranked LEFT JOIN ci USING (task, signal))"]
+_CI = "(SELECT task, signal, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM {each} GROUP BY ALL)"
 _POINTS = [
     DEV, TEST, oracle.CURVE.format(rows="dev"), oracle.LADDER,
     "best AS (SELECT task, signal, target, arg_max(u, rank) AS threshold FROM curve JOIN ladder USING (task) WHERE (rank - wrong) / CAST(rank AS DOUBLE) >= target GROUP BY ALL)",
@@ -345,6 +363,9 @@ ORACLE_SQL = {
     "ece_equal_mass": signals(ON_TEST, [*_CONF, oracle.EDGES["equal_mass"], oracle.BINS, oracle.ECE]) + f"SELECT task, signal, {_num('ece', 'mce')} FROM ece",
     "brier": signals(ON_TEST, _CONF) + f"SELECT task, signal, {sql_shown('avg((conf - CAST(ok AS INT)) * (conf - CAST(ok AS INT)))')} AS brier FROM conf GROUP BY ALL",
     "bootstrap_auroc_ci": signals(ON_TEST, _INTERVALS) + f"SELECT task, signal, rank, {_num('auroc')}, {sql_shown('lower')} AS auroc_lower, {sql_shown('upper')} AS auroc_upper FROM spans",
+    "bootstrap_aurc_ci": signals(ON_TEST, [TEST, *oracle.bootstrap_values("test", REPLICATES, "aurc")]) + f"SELECT task, signal, {_num('value', 'lower', 'upper')} FROM (SELECT task, signal, avg(wrong_so_far / CAST(rank AS DOUBLE)) AS value FROM placed GROUP BY ALL) LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
+    "bootstrap_brier_ci": signals(ON_TEST, [*_CONF, *oracle.bootstrap_values("conf", REPLICATES, "brier")]) + f"SELECT task, signal, {_num('value', 'lower', 'upper')} FROM (SELECT task, signal, avg((conf - CAST(ok AS INT)) * (conf - CAST(ok AS INT))) AS value FROM conf GROUP BY ALL) LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
+    "bootstrap_ece_ci": signals(ON_TEST, [*_CONF, oracle.EDGES["fixed_width"], oracle.BINS, oracle.ECE, *oracle.bootstrap_values("conf", REPLICATES, "ece")]) + f"SELECT task, signal, {_num('value', 'lower', 'upper')} FROM (SELECT task, signal, ece AS value FROM ece) LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
     "interval_bars": signals(ON_TEST, _INTERVALS) + f"SELECT task, row_number() OVER (PARTITION BY task ORDER BY rank) AS bar, signal, {_num('auroc')}, {sql_shown('greatest(auroc - lower, 0e0)')} AS down, {sql_shown('greatest(upper - auroc, 0e0)')} AS up FROM spans WHERE auroc IS NOT NULL QUALIFY bar <= 12",
     "best_free_signal": signals(ON_TEST, _INTERVALS) + f"SELECT f.task, f.signal AS free_signal, b.signal AS best_signal, f.upper >= b.lower AS overlap, {sql_shown('f.auroc')} AS free_auroc, {sql_shown('b.auroc')} AS best_auroc, {sql_shown('b.auroc - f.auroc')} AS gap FROM (SELECT * FROM spans WHERE tier = 'single_pass' AND auroc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task ORDER BY rank) = 1) f JOIN (SELECT * FROM spans WHERE rank = 1) b USING (task)",
     "top_signals": signals(ON_TEST, _TEST_AUROC) + f"SELECT task, signal, rank, {_num('auroc')} FROM ranked WHERE rank <= 3 AND auroc IS NOT NULL",
