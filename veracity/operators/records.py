@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import steps, text
 from . import samples as sm
+from .folds import Decide, fold_clusters
 from .registry import COST_FIELDS, SPAN_PREFIX
 from .signals import signal_map
 
@@ -39,7 +40,7 @@ def canonical_samples(examples: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.select("example_id", "sample_idx", "question", "text", text.canonical_answer(F.col("task"), F.col("text")).alias("answer"), steps.mean_log_probability(F.col("chosen_log_probability")).alias("logp"))
 
 
-def assemble(examples: DataFrame, greedy: DataFrame, samples: DataFrame, replies: DataFrame | None, same: Callable[[Column, Column], Column], model: bool = False, timings: DataFrame | None = None) -> DataFrame:
+def assemble(examples: DataFrame, greedy: DataFrame, samples: DataFrame, replies: DataFrame | None, same: Callable[[Column, Column], Column] | None, model: bool = False, timings: DataFrame | None = None, decide: Decide | None = None) -> DataFrame:
     """Records (the columns of sources.records.RECORD) of
 
     - examples(example_id, task, question, gold_answers, metadata),
@@ -49,9 +50,13 @@ def assemble(examples: DataFrame, greedy: DataFrame, samples: DataFrame, replies
     - timings(example_id, timings), where measured.
 
     same decides whether two answers mean the same: an expression, or with model=True a function of a model
-    (sources.inference.bidirectional). Examples without a greedy generation or a sample are left out; a step array is cut to the shortest."""
+    (sources.inference.bidirectional); decide, if given, is a batch predicate that folds each example's answers in one pass
+    (operators.folds). Examples without a greedy generation or a sample are left out; a step array is cut to the shortest."""
     answers = canonical_samples(examples, samples)
-    clusters = (sm.model_clusters if model else sm.semantic_clusters)(answers, same, key="example_id")
+    if decide:
+        clusters = fold_clusters(answers, decide, key="example_id")
+    else:
+        clusters = (sm.model_clusters if model else sm.semantic_clusters)(answers, same, key="example_id")
     meaning = sm.sentence_uncertainty(clusters, key="example_id")
     majority = sm.majority_answer(answers, key="example_id").select("example_id", "majority_answer")
     listed = answers.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "text", "answer"))).alias("s"))

@@ -9,14 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import once
 from ..session import checkpointed
 
 NAN = float("nan")
 LEAST = 1e-12
 
 
-
-
 def entropy_of_counts(samples: DataFrame, label: str, key: str = "prompt_id") -> DataFrame:
     """entropy, consistency (share of the most frequent) and distinct count of a label, by prompt."""
     counts = samples.groupBy(key, label).agg(F.count("*").cast("double").alias("n"))
@@ -56,8 +55,7 @@ def sample_agreement(samples: DataFrame, answer: str = "answer", key: str = "pro
 def cluster_labels(answers: Column, same: Callable[[Column, Column], Column]) -> Column:
     """Greedy clusters of an array: each answer joins the first cluster whose first member it equals under
     `same`, or begins one. Equal strings are compared once."""
-    distinct = F.array_distinct(answers)
-    start = F.struct(F.slice(distinct, 1, 0).alias("reps"), F.array().cast("array<int>").alias("labels"))
+    start = F.struct(F.slice(answers, 1, 0).alias("reps"), F.array().cast("array<int>").alias("labels"))
 
     def step(state: Column, x: Column) -> Column:
         hit = F.array_position(F.transform(state["reps"], lambda r: F.coalesce(same(x, r), F.lit(False))), F.lit(True))
@@ -65,8 +63,10 @@ def cluster_labels(answers: Column, same: Callable[[Column, Column], Column]) ->
         reps = F.when(hit > 0, state["reps"]).otherwise(F.concat(state["reps"], F.array(x)))
         return F.struct(reps.alias("reps"), F.concat(state["labels"], F.array(label)).alias("labels"))
 
-    labels = F.aggregate(distinct, start, step)["labels"]
-    return F.transform(answers, lambda a: F.get(labels, (F.array_position(distinct, a) - 1).cast("int")))
+    def placed(distinct: Column, labels: Column) -> Column:
+        return F.transform(answers, lambda a: F.get(labels, (F.array_position(distinct, a) - 1).cast("int")))
+
+    return once(F.array_distinct(answers), lambda d: once(F.aggregate(d, start, step)["labels"], lambda labels: placed(d, labels)))
 
 
 def semantic_clusters(samples: DataFrame, same: Callable[[Column, Column], Column], answer: str = "answer", key: str = "prompt_id", index: str = "sample_idx") -> DataFrame:

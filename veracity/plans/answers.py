@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import steps as step_functions
 from ..functions import text as tx
 from ..operators import samples as sm
-from ..operators import records, tokens
+from ..operators import folds, records, tokens
 from ..operators.reports import cost_by_tier, shown
 from ..sources import adapters as ad
-from ..sources.inference import bidirectional, entailment
 from . import oracle
 from .oracle import shown as sql_shown
 
@@ -136,14 +135,14 @@ def sentence_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same clusters as semantic_clusters, decided in batches of pairs by a function as a model's, which sees question and answer."""
+    """The same clusters as semantic_clusters, folded in one pass; a function as a model's, which sees question and answer, decides in batches of pairs of many prompts."""
 
     def near(pairs: list[tuple[str, str]]) -> list[bool]:
         digit = lambda said: int(said.rpartition("? ")[2][0])
         return [abs(digit(a) - digit(b)) <= 1 for a, b in pairs]
 
     rows = ad.order_samples(spark, sf_dir).withColumn("question", F.concat(F.lit("How urgent is "), F.col("prompt_id").cast("string"), F.lit("?")))
-    found = sm.model_clusters(rows, bidirectional(entailment(near), F.col("question")))
+    found = folds.fold_clusters(rows, folds.both_ways(near))
     return found.select("prompt_id", "sample_idx", "answer", F.col("label").cast("long").alias("label"))
 
 
