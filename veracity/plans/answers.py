@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import steps as step_functions
 from ..functions import text as tx
 from ..operators import samples as sm
-from ..operators import folds, records, tokens
+from ..operators import folds, recorder, records, spans, tokens
 from ..operators.reports import cost_by_tier, shown
 from ..sources import adapters as ad
 from . import oracle
@@ -67,6 +67,28 @@ def answer_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.col("span.start").cast("long").alias("span_start"), F.col("span.end").cast("long").alias("span_end"))
 
 
+def decoded_answer_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans through a decoder of token ids; a token is a character here."""
+
+    def decode(generations: list[list[int]]) -> list[str]:
+        return ["".join(map(chr, ids)) for ids in generations]
+
+    rows = ad.number_text(spark, sf_dir).select("id", F.transform(F.split("generation", ""), lambda c: F.ascii(c)).alias("token_ids"))
+    found = spans.with_answer_span(rows, decode)
+    return found.select("id", F.col("answer_span.start").cast("long").alias("span_start"), F.col("answer_span.end").cast("long").alias("span_end"))
+
+
+def recorded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight embeddings stand for the logits of a sequence's steps; the token drawn from one is told by the next, the last one's only in every other sequence."""
+    v = F.col("vec_id")
+    token = F.pmod(v * 7, F.lit(64)).cast("int")
+    blocks = ad.table(spark, sf_dir, "embeddings").select(
+        F.floor(v / 8).alias("seq_id"), (v % 8).cast("int").alias("step"), F.col("embedding").alias("logits"), F.when(v % 8 > 0, token).alias("input_token"), F.when((v % 8 == 7) & (v % 16 == 7), F.col("label")).alias("final_token"),
+    )
+    found = recorder.record_steps(blocks, ends=[63])
+    return found.select("seq_id", F.col("step").cast("long").alias("step"), F.col("token").cast("long").alias("token"), *[shown(F.col(c)).alias(c) for c in ("entropy", "max_probability", "margin", "chosen_log_probability")])
+
+
 def step_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = step_functions.step_statistics(F.col("logits"))
     found = ad.logits(spark, sf_dir).withColumn("s", s)
@@ -165,7 +187,7 @@ def tier_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_by_tier(ad.timings(spark, sf_dir)).select("task", "cost_tier", shown(F.col("mean_seconds")).alias("mean_seconds"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_answer, extract_short_answer, alias_exact_match, extract_final_number, score_numeric, canonical_number, verbalized_confidence, chat_messages, snippets, answer_span, step_statistics, chosen_logprob, token_uncertainty, answer_span_uncertainty, lexical_entropy, user_lexical_entropy, majority_answer, user_majority, sample_agreement, semantic_clusters, sentence_uncertainty, weighted_entropy, model_clusters, record_assembly)} | {"cost_by_tier": tier_costs}
+QUERIES = {f.__name__: f for f in (normalize_answer, extract_short_answer, alias_exact_match, extract_final_number, score_numeric, canonical_number, verbalized_confidence, chat_messages, snippets, answer_span, decoded_answer_span, recorded_steps, step_statistics, chosen_logprob, token_uncertainty, answer_span_uncertainty, lexical_entropy, user_lexical_entropy, majority_answer, user_majority, sample_agreement, semantic_clusters, sentence_uncertainty, weighted_entropy, model_clusters, record_assembly)} | {"cost_by_tier": tier_costs}
 
 _WS = r"[\s\x0B]"
 _NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[[:punct:]]', '', 'g'), '[\s\x0B]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
@@ -210,6 +232,11 @@ def _weighted(label: str, rows: str) -> str:
     return f"SELECT prompt_id, greatest(ln(sum(m)) - sum(CASE WHEN m > 0 THEN m * ln(m) ELSE 0 END) / sum(m), 0e0) AS w FROM (SELECT prompt_id, {label}, sum(exp(logp - top)) AS m FROM (SELECT *, max(logp) OVER (PARTITION BY prompt_id) AS top FROM {rows}) GROUP BY ALL) GROUP BY prompt_id"
 
 
+_SPANS = f"""WITH {_NUMBER_TEXT}, p AS (SELECT id, generation AS t, list_filter(range(1, length(generation) + 1), lambda i: substr(generation, i, 4) = '####') AS places FROM number_text),
+  q AS (SELECT *, list_max(list_filter(range(1, len(places) + 1), lambda j: regexp_matches(substr(t, places[j] + 4), '\\d'))) AS needed FROM p),
+  r AS (SELECT *, list_min(list_filter(range(1, length(t) + 1), lambda k: len(string_split(substr(t, 1, k), '####')) - 1 >= needed)) AS s FROM q)
+  SELECT id, CAST(CASE WHEN needed IS NOT NULL THEN s END AS BIGINT) AS span_start, CAST(CASE WHEN needed IS NOT NULL AND s IS NOT NULL THEN length(t) END AS BIGINT) AS span_end FROM r"""
+
 ORACLE_SQL = {
     "normalize_answer": f"SELECT doc_id, CAST(length(a) AS BIGINT) AS length, md5(a) AS normalized_md5 FROM (SELECT doc_id, {_NORM.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS a FROM documents)",
     "extract_short_answer": f"SELECT conv_id, turn, {_SHORT.format('text')} AS short_answer FROM conversations",
@@ -223,10 +250,12 @@ ORACLE_SQL = {
     "chat_messages": f"""SELECT conv_id, turn, CAST(4 AS BIGINT) AS n_messages, md5({_CHAT} || '<|assistant|>' || chr(10)) AS prompt_md5,
   md5({_CHAT} || '<|assistant|>' || chr(10) || '42' || chr(10) || '<|user|>' || chr(10) || '{tx.CONFIDENCE_PROMPT}' || chr(10) || '<|assistant|>' || chr(10)) AS confidence_md5 FROM conversations WHERE role = 'user'""",
     "snippets": f"SELECT conv_id, turn, CASE WHEN length(s) > 70 THEN substr(s, 1, 69) || '…' ELSE s END AS snippet FROM (SELECT conv_id, turn, {_STRIP.format(f'regexp_replace(text, {chr(39)}{_WS}+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')} AS s FROM conversations)",
-    "answer_span": f"""WITH {_NUMBER_TEXT}, p AS (SELECT id, generation AS t, list_filter(range(1, length(generation) + 1), lambda i: substr(generation, i, 4) = '####') AS places FROM number_text),
-  q AS (SELECT *, list_max(list_filter(range(1, len(places) + 1), lambda j: regexp_matches(substr(t, places[j] + 4), '\\d'))) AS needed FROM p),
-  r AS (SELECT *, list_min(list_filter(range(1, length(t) + 1), lambda k: len(string_split(substr(t, 1, k), '####')) - 1 >= needed)) AS s FROM q)
-  SELECT id, CAST(CASE WHEN needed IS NOT NULL THEN s END AS BIGINT) AS span_start, CAST(CASE WHEN needed IS NOT NULL AND s IS NOT NULL THEN length(t) END AS BIGINT) AS span_end FROM r""",
+    "answer_span": _SPANS,
+    "decoded_answer_span": _SPANS,
+    "recorded_steps": f"""{_SOFT}, p AS (SELECT vec_id, label, z, t, list_sum(list_transform(z, lambda x: -exp(x - t) * (x - t))) AS h, list_reverse_sort(list_transform(z, lambda x: exp(x - t))) AS p FROM l),
+  n AS (SELECT p.*, CASE WHEN q.vec_id IS NOT NULL THEN q.vec_id * 7 % 64 WHEN p.vec_id % 16 = 7 THEN p.label END AS token FROM p LEFT JOIN (SELECT vec_id FROM embeddings) q ON q.vec_id = p.vec_id + 1 AND q.vec_id % 8 > 0),
+  e AS (SELECT *, coalesce(max(CASE WHEN token = 63 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM n WHERE token IS NOT NULL)
+  SELECT vec_id // 8 AS seq_id, vec_id % 8 AS step, CAST(token AS BIGINT) AS token, {sql_shown('h')} AS entropy, {sql_shown('p[1]')} AS max_probability, {sql_shown('p[1] - p[2]')} AS margin, {sql_shown('z[token + 1] - t')} AS chosen_log_probability FROM e WHERE ended = 0""",
     "step_statistics": f"""{_SOFT}, p AS (SELECT vec_id, list_sum(list_transform(z, lambda x: -exp(x - t) * (x - t))) AS h, list_reverse_sort(list_transform(z, lambda x: exp(x - t))) AS p FROM l)
   SELECT vec_id AS seq_id, {sql_shown('h')} AS entropy, {sql_shown('p[1]')} AS max_probability, {sql_shown('p[1] - p[2]')} AS margin, {sql_shown('h / (ln(64) + 1e-12)')} AS normalized_entropy FROM p""",
     "chosen_logprob": f"{_SOFT} SELECT vec_id AS seq_id, {sql_shown('z[label + 1] - t')} AS log_probability FROM l",
