@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 NAN = float("nan")
 LEAST_MASS = 1e-12
+#: Digits in the widest sense: decimal ones of all scripts, and superscripts, circled ones and the like.
+DIGIT = "0-9" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -90,7 +93,7 @@ def answer_span(pieces: Column, marker: str = "####") -> Column:
 
     def found(text: Column) -> Column:
         # A marker counts if it ends before the last digit; these may overlap, so they are counted by look-ahead.
-        before = F.greatest(F.length(text) - F.length(F.regexp_extract(F.reverse(text), r"^\D*", 0)) - 1, F.lit(0))
+        before = F.greatest(F.length(text) - F.length(F.regexp_extract(F.reverse(text), f"^[^{DIGIT}]*", 0)) - 1, F.lit(0))
         needed = F.regexp_count(F.substr(text, F.lit(1), before), F.lit(f"(?={mark})"))
         return once(needed, lambda k: once(F.split(text, mark), lambda parts: reach(parts, k)))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # They must be as given for equal results.
 ARTICLES = ("a", "an", "the")
-ANSWER_PREFIX = r"^\s*(the\s+answer\s+is|answer\s*:|a\s*:)\s*"
-NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+#: White space and digits are those of Unicode, not only of ASCII.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ANSWER_PREFIX = rf"^{SPACE}*(the{SPACE}+answer{SPACE}+is|answer{SPACE}*:|a{SPACE}*:){SPACE}*"
 MARKER = "####"
 TOLERANCE = 1e-4
 TASKS = ("nq_open", "gsm8k")
@@ -18,21 +22,27 @@ SYSTEM_PROMPTS = {
 }
 CONFIDENCE_PROMPT = "How confident are you that the answer above is correct? Reply with a single integer from 0 to 100 and nothing else."
 
+#: Decimal digits of all other scripts, which may be newer than the engine's own classes, and the ASCII digits of their values.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())
+VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+_D = f"0-9{DIGITS}"
+NUMBER = rf"-?[{_D}][{_D},]*(?:\.[{_D}]+)?"
+
 
 def strip(c: Column) -> Column:
     """Without white space at the ends (trim() takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def normalize_answer(c: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, words joined by one space."""
-    parts = F.split(F.regexp_replace(F.lower(c), r"\p{Punct}", ""), r"\s+")
+    parts = F.split(F.regexp_replace(F.lower(c), r"\p{Punct}", ""), f"{SPACE}+")
     return F.array_join(F.filter(parts, lambda t: ~t.isin("", *ARTICLES)), " ")
 
 
 def extract_short_answer(c: Column) -> Column:
     """The first line without a leading answer phrase and closing dots."""
-    line = F.regexp_replace(F.element_at(F.split(strip(c), "\n"), 1), "(?i)" + ANSWER_PREFIX, "")
+    line = F.regexp_replace(F.element_at(F.split(strip(c), "\n"), 1), "(?iu)" + ANSWER_PREFIX, "")
     return strip(F.regexp_replace(strip(line), r"\.+$", ""))
 
 
@@ -43,7 +53,7 @@ def score_alias(generation: Column, aliases: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+    return F.translate(F.replace(c, F.lit(","), F.lit("")), DIGITS, VALUES).try_cast("double")
 
 
 def extract_final_number(c: Column) -> Column:
@@ -88,7 +98,7 @@ def score_canonical(task: Column, answer: Column, golds: Column) -> Column:
 
 def verbalized_confidence(reply: Column) -> Column:
     """The first run of at most three digits as a share of 100; null if there is none or it is over 100."""
-    v = F.nullif(F.regexp_extract(reply, r"(\d{1,3})", 1), F.lit("")).try_cast("double")
+    v = F.translate(F.nullif(F.regexp_extract(reply, f"([{_D}]{{1,3}})", 1), F.lit("")), DIGITS, VALUES).try_cast("double")
     return F.when(v <= 100, v / 100)
 
 
@@ -113,7 +123,7 @@ def render_prompt(messages: Column) -> Column:
 
 def snippet(c: Column, length: int = 70) -> Column:
     """White space collapsed, cut to `length` characters with an ellipsis."""
-    flat = strip(F.regexp_replace(c, r"\s+", " "))
+    flat = strip(F.regexp_replace(c, f"{SPACE}+", " "))
     return F.when(F.length(flat) > length, F.concat(F.substring(flat, 1, length - 1), F.lit("…"))).otherwise(flat)
 
 

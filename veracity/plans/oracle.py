@@ -43,7 +43,7 @@ VALUES = {
 }
 
 #: The registry, as far as queries read it.
-REGISTRY = "registry(ordinal, signal, up, tier) AS (VALUES " + ", ".join(f"({i}, '{n}', {up}, '{tier}')" for i, n, up, _, tier, _ in SIGNALS) + ")"
+REGISTRY = "registry(ordinal, signal, up, tier) AS (VALUES " + ", ".join(f"({i}, '{n}', {up}, '{tier}')" for i, n, up, _, tier in SIGNALS) + ")"
 
 #: Dev and test by hash order within a task.
 SPLIT = f"""split AS MATERIALIZED (SELECT *, CASE WHEN position <= round_even(n_task * {DEV_FRACTION}, 0) THEN 'dev' ELSE 'test' END AS split FROM (
