@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NAN = float("nan")
 LEAST_MASS = 1e-12
 #: Digits in the widest sense: decimal ones of all scripts, and superscripts, circled ones and the like.
-DIGIT = "0-9" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
+DIGIT = r"\p{Nd}\x{11f50}-\x{11f59}\x{16ac0}-\x{16ac9}\x{1e4f0}-\x{1e4f9}" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal())
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -22,10 +22,11 @@ SYSTEM_PROMPTS = {
 }
 CONFIDENCE_PROMPT = "How confident are you that the answer above is correct? Reply with a single integer from 0 to 100 and nothing else."
 
-#: Decimal digits of all other scripts, which may be newer than the engine's own classes, and the ASCII digits of their values.
+#: Decimal digits of all other scripts, and the ASCII digits of their values.
 DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())
 VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
-_D = f"0-9{DIGITS}"
+#: Their class; three scripts are newer than the engine's tables.
+_D = r"\p{Nd}\x{11f50}-\x{11f59}\x{16ac0}-\x{16ac9}\x{1e4f0}-\x{1e4f9}"
 NUMBER = rf"-?[{_D}][{_D},]*(?:\.[{_D}]+)?"
 
 
@@ -52,8 +53,13 @@ def score_alias(generation: Column, aliases: Column) -> Column:
     return F.coalesce((found != "") & F.exists(aliases, lambda a: normalize_answer(a) == found), F.lit(False))
 
 
+def _ascii(number: Column) -> Column:
+    """A number in ASCII digits; most are already, and the long table is for the others."""
+    return F.when(number.rlike(r"^[\x00-\x7f]*$"), number).otherwise(F.translate(number, DIGITS, VALUES))
+
+
 def parse_number(c: Column) -> Column:
-    return F.translate(F.replace(c, F.lit(","), F.lit("")), DIGITS, VALUES).try_cast("double")
+    return _ascii(F.replace(c, F.lit(","), F.lit(""))).try_cast("double")
 
 
 def extract_final_number(c: Column) -> Column:
@@ -98,7 +104,7 @@ def score_canonical(task: Column, answer: Column, golds: Column) -> Column:
 
 def verbalized_confidence(reply: Column) -> Column:
     """The first run of at most three digits as a share of 100; null if there is none or it is over 100."""
-    v = F.translate(F.nullif(F.regexp_extract(reply, f"([{_D}]{{1,3}})", 1), F.lit("")), DIGITS, VALUES).try_cast("double")
+    v = _ascii(F.nullif(F.regexp_extract(reply, f"([{_D}]{{1,3}})", 1), F.lit(""))).try_cast("double")
     return F.when(v <= 100, v / 100)
 
 
