@@ -3,6 +3,8 @@ the rounding both engines apply."""
 
 from __future__ import annotations
 
+import re
+
 from ..operators.registry import BOOTSTRAP, DEV_FRACTION, SEED, SIGNALS, TARGETS
 
 #: Newton rounds of the calibrator, unrolled.
@@ -152,6 +154,25 @@ def bootstrap_values(rows: str, replicates: int = BOOTSTRAP, metric: str = "auro
     return [*draws(rows, replicates), *EACH[metric]]
 
 
+def poisson_values(rows: str, replicates: int = BOOTSTRAP) -> list[str]:
+    """bootstrap_values() of the AUROC by independent Poisson(1) counts of the rows."""
+    steps, total, p = [], 0.0, 0.36787944117144233
+    for i in range(1, 12):
+        total, p = total + p, p / i
+        steps.append(f"CASE WHEN unit >= {total!r}e0 THEN 1 ELSE 0 END")
+    drawn = f"SELECT *, (('0x' || substr(md5('{SEED}-' || rep || '-' || pos), 1, 8))::BIGINT + 0.5e0) / 4294967296e0 AS unit FROM {rows}, range(0, {replicates}) AS r(rep)"
+    return [f"drawn AS MATERIALIZED (SELECT *, {' + '.join(steps)} AS k FROM ({drawn}) WHERE unit >= 0.36787944117144233e0)", *EACH["auroc"]]
+
+
+def both_errors() -> list[str]:
+    """CTEs ece_fixed_width and ece_equal_mass, from conf."""
+    out = []
+    for strategy, edges in EDGES.items():
+        names = [re.sub(r"\b(edges|bins)\b", rf"\1_{strategy}", part) for part in (edges, BINS, ECE)]
+        out += [*names[:2], re.sub("^ece AS", f"ece_{strategy} AS", names[2])]
+    return out
+
+
 LADDER = "ladder(task, target) AS (VALUES " + ", ".join(f"('{t}', {x}e0)" for t, xs in TARGETS.items() for x in xs) + ")"
 
 #: Samples of a customer's orders or a user's events.

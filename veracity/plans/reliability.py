@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, calibrate, decisions, metrics, reports, resample
@@ -299,12 +301,31 @@ def task_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("task", "best_signal", shown(F.col("greedy_accuracy")).alias("greedy_accuracy"), F.size("evaluations").alias("n_signals"), F.to_json(F.struct(*found.columns)).alias("analysis"))
 
 
+def task_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure of the nested results of all tasks, a row each: of the signals, the operating points, the tiers and the cascade."""
+    found = checkpointed(analysis.analyse(_records(spark, sf_dir)))
+
+    def listed(name: str, label: Column, *figures: str) -> DataFrame:
+        rows = found.select("task", F.explode(name).alias("x"))
+        pairs = F.array(*[F.struct(F.concat(F.lit(f"{name} "), label, F.lit(f" {f}")).alias("figure"), F.col(f"x.{f}").cast("double").alias("value")) for f in figures])
+        return rows.select("task", F.explode(pairs).alias("p")).select("task", "p.*")
+
+    parts = [
+        found.select("task", F.concat(F.lit("best signal "), "best_signal").alias("figure"), F.col("greedy_accuracy").alias("value")),
+        found.select("task", F.lit("gap of the tiers").alias("figure"), F.col("gap").alias("value")),
+        listed("evaluations", F.col("x.signal"), "rank", "auroc", "auroc_lower", "auroc_upper", "aurc", "aurc_lower", "aurc_upper", "ece_fixed_width", "ece_equal_mass", "brier"),
+        listed("selective", F.format_string("%.2f", "x.target"), "threshold", "dev_coverage", "dev_accuracy", "test_coverage", "test_accuracy", "met"),
+        listed("tiers", F.col("x.tier"), "n", "share", "accuracy"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).select("task", "figure", shown(F.col("value")).alias("value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         auroc_by_signal, average_ranks, signal_rows_long, available_signals, degenerate_signals, separation_table, accuracy_by_split, risk_coverage_curve, aurc, logistic_calibrator, reliability_fixed, reliability_equal_mass,
         ece_fixed, ece_equal_mass, brier, bootstrap_auroc_ci, bootstrap_aurc_ci, bootstrap_brier_ci, bootstrap_ece_ci, bootstrap_poisson, interval_bars, best_free_signal, top_signals, span_vs_full, span_finding, ablation_pivot, cost_versus_quality, selective_answering, targets_met,
-        confidence_tiers, tier_gap, worked_examples, signal_histogram, group_medians, cascade_curve, cascade_selected, policy_comparison, flipped_examples, seeded_examples, evaluations, task_analysis, base_error_rate, cost_ratio, same_winner,
+        confidence_tiers, tier_gap, worked_examples, signal_histogram, group_medians, cascade_curve, cascade_selected, policy_comparison, flipped_examples, seeded_examples, evaluations, task_analysis, task_figures, base_error_rate, cost_ratio, same_winner,
     )
 } | {"dev_test_split": dev_test}
 
@@ -314,6 +335,13 @@ _TEST_AUROC = [TEST, oracle.AUROC.format(rows="test"), f"ranked AS (SELECT a.*,
 _CONF = [DEV, TEST, *oracle.calibrated()]
 _INTERVALS = [*_TEST_AUROC, *oracle.bootstrap_values("test", REPLICATES), "ci AS (SELECT task, signal, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM each GROUP BY ALL)", "spans AS (SELECT * FROM ranked LEFT JOIN ci USING (task, signal))"]
 _CI = "(SELECT task, signal, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM {each} GROUP BY ALL)"
+_EVALUATED = [
+    *_TEST_AUROC, *oracle.draws("test", REPLICATES), *[x.replace("each AS", "each_auroc AS") for x in oracle.EACH["auroc"]], *[x.replace("each AS", "each_aurc AS") for x in oracle.EACH["aurc"]], DEV, *oracle.calibrated(), *oracle.both_errors(),
+    f"""evaluated AS MATERIALIZED (SELECT r.task, r.signal, r.rank, r.auroc, a.lower AS auroc_lower, a.upper AS auroc_upper, c.aurc, b.lower AS aurc_lower, b.upper AS aurc_upper, f.ece AS ece_fixed_width, e.ece AS ece_equal_mass, s.brier FROM ranked r
+  LEFT JOIN {_CI.format(each="each_auroc")} a USING (task, signal) LEFT JOIN {_CI.format(each="each_aurc")} b USING (task, signal) LEFT JOIN (SELECT task, signal, avg(wrong_so_far / CAST(rank AS DOUBLE)) AS aurc FROM placed GROUP BY ALL) c USING (task, signal)
+  LEFT JOIN ece_fixed_width f USING (task, signal) LEFT JOIN ece_equal_mass e USING (task, signal) LEFT JOIN (SELECT task, signal, avg((conf - CAST(ok AS INT)) * (conf - CAST(ok AS INT))) AS brier FROM conf GROUP BY ALL) s USING (task, signal))""",
+]
+_FIGURES = ("rank", "auroc", "auroc_lower", "auroc_upper", "aurc", "aurc_lower", "aurc_upper", "ece_fixed_width", "ece_equal_mass", "brier")
 _POINTS = [
     DEV, TEST, oracle.CURVE.format(rows="dev"), oracle.LADDER,
     "best AS (SELECT task, signal, target, arg_max(u, rank) AS threshold FROM curve JOIN ladder USING (task) WHERE (rank - wrong) / CAST(rank AS DOUBLE) >= target GROUP BY ALL)",
@@ -341,6 +369,11 @@ chosen AS (SELECT * FROM curve WHERE step = (SELECT min(step) FROM curve WHERE d
 _COSTS = "costs AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'nq_open' ELSE 'gsm8k' END AS task, tier, avg(CASE WHEN tier = 'single_pass' AND event_type = 'view' OR tier = 'extra_call' AND event_type = 'signup' OR tier = 'multi_sample' AND event_type IN ('click', 'purchase') THEN value ELSE 0e0 END) AS s FROM events, (VALUES ('single_pass'), ('extra_call'), ('multi_sample')) AS t(tier) GROUP BY ALL)"
 
 
+def _as_records(sql: str) -> str:
+    """Rows that are split by their example_id as records have it."""
+    return sql.replace("'42-' || doc_id", "'42-' || task || '-' || lpad(CAST(doc_id AS VARCHAR), 8, '0')")
+
+
 def _num(*names: str) -> str:
     return ", ".join(f"{sql_shown(n)} AS {n}" for n in names)
 
@@ -366,6 +399,15 @@ ORACLE_SQL = {
     "bootstrap_aurc_ci": signals(ON_TEST, [TEST, *oracle.bootstrap_values("test", REPLICATES, "aurc")]) + f"SELECT task, signal, {_num('value', 'lower', 'upper')} FROM (SELECT task, signal, avg(wrong_so_far / CAST(rank AS DOUBLE)) AS value FROM placed GROUP BY ALL) LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
     "bootstrap_brier_ci": signals(ON_TEST, [*_CONF, *oracle.bootstrap_values("conf", REPLICATES, "brier")]) + f"SELECT task, signal, {_num('value', 'lower', 'upper')} FROM (SELECT task, signal, avg((conf - CAST(ok AS INT)) * (conf - CAST(ok AS INT))) AS value FROM conf GROUP BY ALL) LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
     "bootstrap_ece_ci": signals(ON_TEST, [*_CONF, oracle.EDGES["fixed_width"], oracle.BINS, oracle.ECE, *oracle.bootstrap_values("conf", REPLICATES, "ece")]) + f"SELECT task, signal, {_num('value', 'lower', 'upper')} FROM (SELECT task, signal, ece AS value FROM ece) LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
+    "bootstrap_poisson": signals(ON_TEST, [*_TEST_AUROC, *oracle.poisson_values("test", REPLICATES)]) + f"SELECT task, signal, {sql_shown('auroc')} AS value, {_num('lower', 'upper')} FROM auroc LEFT JOIN {_CI.format(each='each')} USING (task, signal)",
+    "evaluations": signals(ON_TEST, _EVALUATED) + f"SELECT task, signal, rank, {_num(*_FIGURES[1:])} FROM evaluated",
+    "task_figures": _as_records(signals(ON_TEST, [*_EVALUATED, *[x for x in _POINTS + _TIERS if x not in (DEV, TEST)], "best_signal AS (SELECT task, signal FROM evaluated WHERE rank = 1)"])) + "SELECT task, figure, " + sql_shown("value") + " AS value FROM (" + " UNION ALL ".join([
+        "SELECT task, 'best signal ' || signal AS figure, avg(CAST(ok AS INT)) AS value FROM split JOIN best_signal USING (task) WHERE split = 'test' GROUP BY task, signal",
+        "SELECT task, 'gap of the tiers', max(CASE WHEN tier = 'High' AND n > 0 THEN acc END) - max(CASE WHEN tier = 'Low' AND n > 0 THEN acc END) FROM tiers JOIN best_signal USING (task, signal) GROUP BY task",
+        *[f"SELECT task, 'evaluations ' || signal || ' {f}', CAST({f} AS DOUBLE) FROM evaluated" for f in _FIGURES],
+        *[f"SELECT task, 'selective ' || printf('%.2f', target) || ' {f}', CAST({f if f != 'met' else 'CAST(met AS INT)'} AS DOUBLE) FROM points JOIN best_signal USING (task, signal)" for f in ("threshold", "dev_coverage", "dev_accuracy", "test_coverage", "test_accuracy", "met")],
+        *[f"SELECT task, 'tiers ' || tier || ' {f}', CAST({c} AS DOUBLE) FROM tiers JOIN best_signal USING (task, signal)" for f, c in (("n", "n"), ("share", "share"), ("accuracy", "acc"))],
+    ]) + ")",
     "interval_bars": signals(ON_TEST, _INTERVALS) + f"SELECT task, row_number() OVER (PARTITION BY task ORDER BY rank) AS bar, signal, {_num('auroc')}, {sql_shown('greatest(auroc - lower, 0e0)')} AS down, {sql_shown('greatest(upper - auroc, 0e0)')} AS up FROM spans WHERE auroc IS NOT NULL QUALIFY bar <= 12",
     "best_free_signal": signals(ON_TEST, _INTERVALS) + f"SELECT f.task, f.signal AS free_signal, b.signal AS best_signal, f.upper >= b.lower AS overlap, {sql_shown('f.auroc')} AS free_auroc, {sql_shown('b.auroc')} AS best_auroc, {sql_shown('b.auroc - f.auroc')} AS gap FROM (SELECT * FROM spans WHERE tier = 'single_pass' AND auroc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task ORDER BY rank) = 1) f JOIN (SELECT * FROM spans WHERE rank = 1) b USING (task)",
     "top_signals": signals(ON_TEST, _TEST_AUROC) + f"SELECT task, signal, rank, {_num('auroc')} FROM ranked WHERE rank <= 3 AND auroc IS NOT NULL",
