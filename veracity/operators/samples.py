@@ -47,9 +47,10 @@ def majority_answer(samples: DataFrame, answer: str = "answer", key: str = "prom
 
 
 def sample_agreement(samples: DataFrame, answer: str = "answer", key: str = "prompt_id") -> DataFrame:
-    """Share of samples equal to the majority answer."""
+    """Share of samples equal to the majority answer: the largest count of an answer, or without any the count of empty ones."""
     counts = samples.groupBy(key, answer).agg(F.count("*").alias("n"))
-    return counts.join(majority_answer(samples, answer, key), key).groupBy(key).agg((F.sum(F.when(F.col(answer) == F.col("majority_answer"), F.col("n")).otherwise(0)) / F.sum("n")).alias("agreement"))
+    most, empty = F.max(F.when(F.col(answer) != "", F.col("n"))), F.max(F.when(F.col(answer) == "", F.col("n")))
+    return counts.groupBy(key).agg((F.coalesce(most, empty, F.lit(0)) / F.sum("n")).alias("agreement"))
 
 
 def cluster_labels(answers: Column, same: Callable[[Column, Column], Column]) -> Column:

@@ -237,7 +237,23 @@ _SPANS = f"""WITH {_NUMBER_TEXT}, p AS (SELECT id, generation AS t, list_filter(
   r AS (SELECT *, list_min(list_filter(range(1, length(t) + 1), lambda k: len(string_split(substr(t, 1, k), '####')) - 1 >= needed)) AS s FROM q)
   SELECT id, CAST(CASE WHEN needed IS NOT NULL THEN s END AS BIGINT) AS span_start, CAST(CASE WHEN needed IS NOT NULL AND s IS NOT NULL THEN length(t) END AS BIGINT) AS span_end FROM r"""
 
+#: Records of the stand-in generations. Answers mean the same if they are equally long, so a length is a cluster.
+_RECORDS = f"""WITH {_NUMBER_TEXT}, spans AS ({_SPANS}), base AS (SELECT id, generation, {_FINAL.format("gold")} AS gold FROM number_text),
+  said AS (SELECT *, {_FINAL.format("text")} AS v FROM (SELECT id, gold, k, CASE k WHEN 0 THEN generation WHEN 1 THEN '#### ' || (id % 4) ELSE 'It is ' || (id % 3 + 1) END AS text, (-(id % 13) / 1e1 - k / 1e1) / 2 AS logp FROM base, range(0, 3) AS t(k))),
+  canon AS (SELECT *, {_FORMAT} AS a FROM said), judged AS (SELECT *, a <> '' AND coalesce(abs({_FINAL.format("('#### ' || a)")} - gold) <= 1e-4, false) AS ok FROM canon),
+  votes AS (SELECT id, a, count(*) AS n, min(k) AS first, bool_or(ok) AS ok FROM judged WHERE a <> '' GROUP BY id, a), won AS (SELECT id, a, ok FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, first) = 1),
+  kinds AS (SELECT id, length(a) AS label, CAST(count(*) AS DOUBLE) AS n, sum(exp(logp)) AS m FROM judged GROUP BY ALL), meant AS (SELECT id, greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 0e0) AS h, greatest(ln(sum(m)) - sum(m * ln(m)) / sum(m), 0e0) AS w, CAST(count(*) AS DOUBLE) AS d FROM kinds GROUP BY id),
+  listed AS (SELECT id, md5(string_agg(text, '|' ORDER BY k)) AS samples_md5, string_agg(a, '|' ORDER BY k) AS sample_canonical, string_agg(CAST(ok AS VARCHAR), '|' ORDER BY k) AS sample_correct FROM judged GROUP BY id),
+  one AS (SELECT id, a AS greedy_canonical, coalesce(abs(v - gold) <= 1e-4, false) AS greedy_correct FROM judged WHERE k = 0),
+  steps AS (SELECT id, avg((i % 7) / 7e0) AS h, -sum(i % 11) / 5e1 AS p FROM base, LATERAL (SELECT unnest(range(1, length(generation) + 1)) AS i) GROUP BY id),
+  within AS (SELECT id, min(i % 3) / 4e0 AS margin FROM spans, LATERAL (SELECT unnest(range(span_start + 1, span_end + 1)) AS i) GROUP BY id)
+SELECT format('gsm8k-{{:06d}}', b.id) AS example_id, 'gsm8k' AS task, CAST(length(generation) AS INT) AS greedy_num_tokens, greedy_correct, greedy_canonical, span_start || '-' || span_end AS span, samples_md5, sample_canonical,
+  coalesce(won.a, '') AS majority_answer, coalesce(won.ok, false) AS majority_correct, sample_correct, {sql_shown("steps.h")} AS mean_entropy, {sql_shown("steps.p")} AS seq_log_prob, {sql_shown("within.margin")} AS answer_min_margin, {sql_shown("meant.h")} AS semantic_entropy,
+  {sql_shown("meant.w")} AS weighted_semantic_entropy, meant.d AS num_semantic_clusters, {sql_shown("CASE WHEN b.id % 5 <> 0 AND b.id % 120 <= 100 THEN (b.id % 120) / 1e2 END")} AS verbalized_confidence
+FROM base b JOIN listed USING (id) JOIN one USING (id) JOIN meant USING (id) JOIN steps USING (id) JOIN spans USING (id) LEFT JOIN won USING (id) LEFT JOIN within USING (id)"""
+
 ORACLE_SQL = {
+    "record_assembly": _RECORDS,
     "normalize_answer": f"SELECT doc_id, CAST(length(a) AS BIGINT) AS length, md5(a) AS normalized_md5 FROM (SELECT doc_id, {_NORM.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS a FROM documents)",
     "extract_short_answer": f"SELECT conv_id, turn, {_SHORT.format('text')} AS short_answer FROM conversations",
     "alias_exact_match": f"""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'The answer is The ' || p_name || '!' WHEN 1 THEN ' Answer: ' || upper(p_name) || '..' || chr(10) || 'more' WHEN 2 THEN 'A: ' || p_brand ELSE '...' END AS generation,
