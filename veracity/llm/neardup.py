@@ -37,6 +37,8 @@ BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
 #: Lanes of ids in which the holders of a rare shingle are counted.
 LANES = 4
+#: Edges that a task of components() takes at least: small tables lie in few files from round to round.
+EDGES = 1 << 17
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,17 +227,21 @@ def components(links: DataFrame) -> DataFrame:
     and small-star steps until nothing changes. A node's neighbours meet only in aggregates and joins."""
     can_checkpoint(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
+    n = edges.count()
     while True:
+        kept = lambda df, tasks=n // EDGES + 1: df.coalesce(tasks).checkpoint()
+        edges = edges.coalesce(n // EDGES + 1)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).checkpoint()
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         # Large star: each larger neighbour is tied to the node's smallest.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct().checkpoint()
+        large = kept(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         # Small star: the smaller neighbours and the node are tied to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        small = large.join(low, "u").select(pair.alias("e")).select("e.*").where("u > v").distinct().checkpoint()
+        small = kept(large.join(low, "u").select(pair.alias("e")).select("e.*").where("u > v").distinct())
         # Neither has a row twice, so that as many rows and none that is new mean the same rows.
-        if small.count() == edges.count() and small.exceptAll(edges).isEmpty():
+        before, n = n, small.count()
+        if n == before and small.exceptAll(edges).isEmpty():
             break
         edges = small
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
