@@ -112,8 +112,10 @@ def noted(notes: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return chosen["a"].to_numpy(), chosen["b"].to_numpy()
 
 
-def note_rows(blk: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(blk, pa.int32()), pa.array(np.full(len(blk), kind), pa.int32()), pa.array(a), pa.array(b), pa.nulls(len(blk), pa.binary())], schema=pa.schema(_NOTES))
+def note_rows(blk: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray, packed=None) -> pa.Table:
+    """Notes of two numbers, or of two numbers and bytes."""
+    last = pa.nulls(len(blk), pa.binary()) if packed is None else pa.array(packed, pa.binary())
+    return pa.table([pa.array(blk, pa.int32()), pa.array(np.full(len(blk), kind), pa.int32()), pa.array(a), pa.array(b), last], schema=pa.schema(_NOTES))
 
 
 def mark_rows(blk: int, marks: np.ndarray, variety: np.ndarray) -> pa.Table:
@@ -223,7 +225,11 @@ def in_two_texts(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n places lie in some window of `length` that begins at one of the starts."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    own, edge = np.zeros(n + 1, bool), np.zeros(n + 1, np.int8)
+    own[starts] = True
+    place = np.flatnonzero(own)
+    if len(place):
+        apart = place[1:] > place[:-1] + length
+        edge[place[np.concatenate(([True], apart))]] = 1
+        edge[place[np.concatenate((apart, [True]))] + length] = -1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
